@@ -158,7 +158,7 @@ HTML_TYPES = ("text/html", "application/xhtml+xml")
 
 def detect_format(content: Column | str, content_type: Column | str) -> Column:
     """``html``, ``pdf`` or ``markdown`` from the content type, else from the first bytes."""
-    head = F.decode(F.substring(_col(content), 1, 4096), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(_col(content), 1, 4096), "ISO-8859-1")
     kind = F.lower(strip(F.split_part(_col(content_type), F.lit(";"), F.lit(1))))
     return (
         F.when(kind.isin(*PDF_TYPES), "pdf")
@@ -174,7 +174,7 @@ def decode_html(content: Column | str) -> Column:
     """UTF-8 when the bytes are valid UTF-8, else Latin-1."""
     raw = _col(content)
     as_text = raw.cast("string")
-    return F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(raw, F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(raw, "ISO-8859-1"))
 
 
 def decode_markdown(content: Column | str) -> Column:

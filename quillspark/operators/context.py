@@ -51,7 +51,7 @@ def expand_and_merge(hits: DataFrame, chunks: DataFrame, window: int = EXPANSION
         )
         same = Window.partitionBy("query_id", "document_id", "chunk_id").orderBy("_origin")
         found = (
-            found.unionByName(near).where(F.col("chunk_id").isNotNull())
+            found.unionByName(near).repartition("query_id", "document_id").where(F.col("chunk_id").isNotNull())
             .withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
         )
         # At most k hits per query, each with 2·window neighbours, meet in these windows.

@@ -319,7 +319,9 @@ def rrf_fuse(arms: Sequence[DataFrame], limits: DataFrame, rrf_k: int = RRF_K) -
     both = arms[0].select("query_id", "chunk_id", "rank")
     for arm in arms[1:]:
         both = both.unionByName(arm.select("query_id", "chunk_id", "rank"))
-    fused = both.groupBy("query_id", "chunk_id").agg(
+    # The lists are short. Shuffling them by name keeps the sum right in sessions
+    # that trust a union's partitioning (see session.SAFE_CONF).
+    fused = both.repartition("query_id", "chunk_id").groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))), SCORE_DIGITS).alias("score")
     )
     return _ranked_with_limits(fused, limits)

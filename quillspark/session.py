@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
+# A union may claim that its inputs share one partitioning although adaptive
+# execution has coalesced them differently; a grouping after it then sees parts
+# of a key in two places. With this off, the grouping shuffles as it should.
+SAFE_CONF = {"spark.sql.unionOutputPartitioning": "false"}
+
 _FALLBACK_DIRS: dict[str, str] = {}
 
 
@@ -26,12 +31,19 @@ def build_session(app_name: str = "quillspark", master: str | None = None, **con
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **SAFE_CONF,
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def apply_safe_conf(spark: SparkSession) -> None:
+    """Give a session that was built elsewhere the settings results depend on."""
+    for key, value in SAFE_CONF.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
