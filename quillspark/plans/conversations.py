@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import cited_ids, export_name, is_refusal, shorten, strip_markers
 from ..operators import citations as cit
 from ..operators import conversations as conv
@@ -315,12 +316,12 @@ PIECE = 7
 
 def token_rows(spark, sf_dir):
     """Each raw answer as a token log: pieces of seven characters, cut anywhere."""
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length("answer") - 1) / PIECE).cast("int")),
-        lambda i: F.substring(F.col("answer"), i * PIECE + 1, F.lit(PIECE)),
-    )
-    return T.answers(spark, sf_dir).select(
-        "message_id", "conv_id", "turn", F.size(pieces).alias("n"), F.posexplode(pieces).alias("seq", "token")
+    pieces = let(F.col("answer"), lambda text: F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(text) - 1) / PIECE).cast("int")),
+        lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)),
+    ))
+    return T.answers(spark, sf_dir).select("message_id", "conv_id", "turn", pieces.alias("pieces")).select(
+        "message_id", "conv_id", "turn", F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "token")
     )
 
 

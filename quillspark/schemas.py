@@ -1,26 +1,19 @@
-"""Declared schemas of the stored tables and of the shapes operators exchange."""
+"""Declared schemas (as DDL) of the stored tables and of the shapes operators exchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-DOCUMENTS = _schema(
+DOCUMENTS = (
     "document_id string, title string, description string, url string, content_path string, "
     "source_type string, lang string, etag string, last_modified string, content_hash string, "
     "metadata map<string,string>, last_crawled_at timestamp, created_at timestamp, updated_at timestamp"
 )
 
-CHUNKS = _schema(
+CHUNKS = (
     "chunk_id string, document_id string, content string, chunk_index int, "
     "section_path array<string>, anchor string, char_start int, char_end int, source_type string"
 )
 
-CONVERSATIONS = _schema(
+CONVERSATIONS = (
     "conversation_id string, user_id string, title string, created_at timestamp, updated_at timestamp"
 )
 
@@ -30,29 +23,29 @@ CITATION_DDL = (
     "chunk_index int"
 )
 
-MESSAGES = _schema(
+MESSAGES = (
     "message_id string, conversation_id string, role string, content string, "
     f"sources array<struct<{','.join(p.strip().replace(' ', ':', 1) for p in CITATION_DDL.split(', '))},"
     "is_cited:boolean>>, created_at timestamp"
 )
 
-SYNC_RUNS = _schema(
+SYNC_RUNS = (
     "run_id string, kind string, status string, items_total bigint, items_new bigint, "
     "items_updated bigint, items_unchanged bigint, items_error bigint, started_at timestamp, "
     "finished_at timestamp"
 )
 
-SYNC_ITEMS = _schema(
+SYNC_ITEMS = (
     "item_id string, run_id string, source_ref string, outcome string, error_message string, "
     "created_at timestamp"
 )
 
-FEEDBACK = _schema(
+FEEDBACK = (
     "feedback_id string, message_id string, conversation_id string, suggested_correction string, "
     "payload_json string, issue_url string, status string, created_at timestamp"
 )
 
-FETCH_LOG = _schema(
+FETCH_LOG = (
     "url string, content binary, content_type string, etag string, last_modified string, "
     "http_status int, fetch_error string, robots_allowed boolean"
 )

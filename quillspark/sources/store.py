@@ -48,14 +48,14 @@ class CorpusStore:
 
     # --- reads ---
 
-    def _current(self, name: str, schema) -> DataFrame:
+    def _current(self, name: str, schema: str) -> DataFrame:
         version = self.version()
         if version is None:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/v={version}/{name}")
 
     def _documents(self) -> DataFrame:
-        return self._current("documents", _with_version(DOCUMENTS))
+        return self._current("documents", DOCUMENTS + ", chunk_version int")
 
     def documents(self) -> DataFrame:
         return self._documents().drop("chunk_version")
@@ -91,7 +91,7 @@ class CorpusStore:
     def items(self) -> DataFrame:
         return self._audit("items", SYNC_ITEMS)
 
-    def _audit(self, name: str, schema) -> DataFrame:
+    def _audit(self, name: str, schema: str) -> DataFrame:
         rows = self._all_versions(name)
         return self.spark.createDataFrame([], schema) if rows is None else rows.drop("v")
 
@@ -147,8 +147,3 @@ class CorpusStore:
         self._mark(version)
         return self.spark.read.parquet(f"{base}/runs")
 
-
-def _with_version(schema):
-    from pyspark.sql import types as T
-
-    return T.StructType([*schema.fields, T.StructField("chunk_version", T.IntegerType())])

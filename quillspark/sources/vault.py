@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import decode_markdown, strip
 
@@ -46,7 +47,7 @@ def flat_metadata(yaml_text: Column | str) -> Column:
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def nested_metadata(yaml_text: pd.Series) -> pd.Series:
     """Full YAML: scalars as text, lists and maps as JSON. Needs PyYAML on the executors."""
     import yaml
