@@ -33,7 +33,7 @@ def line_chunks(docs: DataFrame, id_col: str = "document_id", text_col: str = "b
     )
 
 
-def _section_parts(body: Column, sections: Column) -> Column:
+def section_parts(body: Column, sections: Column) -> Column:
     """Body as ``array<struct<level,heading,paragraphs>>``, one entry per heading.
 
     The first entry holds the text before any heading (level 0). A line counts
@@ -109,8 +109,13 @@ def _pack(pieces: Column, budget: Column) -> Column:
     )
 
 
-def chunk_contents(body: Column, sections: Column, max_tokens: int, token_re: str) -> Column:
-    """``array<struct<content,section_path>>`` of one document.
+def has_paragraphs(parts: Column) -> Column:
+    """Whether a document gives any chunk at all: headings alone give none."""
+    return F.coalesce(F.exists(parts, lambda p: F.size(p["paragraphs"]) > 0), F.lit(False))
+
+
+def chunk_contents(parts: Column, max_tokens: int, token_re: str) -> Column:
+    """``array<struct<content,section_path>>`` of one document from its ``section_parts``.
 
     The headings above a chunk stand in front of its text and count towards the
     limit; when they alone take more than half of it they are left out of the
@@ -151,7 +156,7 @@ def chunk_contents(body: Column, sections: Column, max_tokens: int, token_re: st
 
         return F.flatten(F.transform(F.filter(zipped, lambda z: F.size(z["part"]["paragraphs"]) > 0), one))
 
-    return let(let(_section_parts(body, sections), with_paths), chunks)
+    return let(let(parts, with_paths), chunks)
 
 
 def locate_chunks(contents: Column, body: Column) -> Column:
@@ -200,8 +205,8 @@ def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, token_re: str
     base = docs.where(~is_blank("body"))
     if "sections" not in docs.columns:
         base = base.withColumn("sections", parse_sections("body"))
-    cut = base.withColumn(
-        "_chunks", chunk_contents(F.col("body"), F.col("sections"), max_tokens, token_re)
+    cut = base.withColumn("_parts", section_parts(F.col("body"), F.col("sections"))).withColumn(
+        "_chunks", chunk_contents(F.col("_parts"), max_tokens, token_re)
     )
     spans = cut.withColumn("_spans", locate_chunks(F.transform("_chunks", lambda c: c["content"]), F.col("body")))
     rows = spans.select(

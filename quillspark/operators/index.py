@@ -60,24 +60,20 @@ def counted_terms(text: Column | str, term_re: str = TERM_RE) -> Column:
     Counts are run lengths of the sorted terms, so no row leaves its task.
     """
 
-    def runs(sorted_terms: Column) -> Column:
-        size = F.size(sorted_terms)
-        starts = F.filter(
-            F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")),
-            lambda i: (i == 1) | (F.try_element_at(sorted_terms, i) != F.try_element_at(sorted_terms, F.greatest(i - 1, F.lit(1)))),
-        )
+    def runs(words: Column) -> Column:
+        placed = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+        heads = F.filter(placed, lambda x: (x["at"] == 0) | (x["term"] != F.get(words, x["at"] - 1)))
         return let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda start, n: F.struct(
-                    F.element_at(sorted_terms, start).alias("term"),
-                    (F.coalesce(F.try_element_at(s, n + 2), size + 1) - start).alias("tf"),
+            heads,
+            lambda h: F.transform(
+                h,
+                lambda x, i: F.struct(
+                    x["term"].alias("term"), (F.coalesce(F.get(h, i + 1)["at"], F.size(words)) - x["at"]).alias("tf")
                 ),
             ),
         )
 
-    return let(F.array_sort(terms(text, term_re)), runs)
+    return let(F.sort_array(terms(text, term_re)), runs)
 
 
 def chunk_term_rows(chunks: DataFrame, term_re: str = TERM_RE) -> DataFrame:

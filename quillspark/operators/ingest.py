@@ -11,7 +11,7 @@ from ..functions.text import (
     is_blank,
 )
 from ..schemas import SECTION_TYPE
-from .chunking import MAX_TOKENS, chunk_contents, locate_chunks
+from .chunking import MAX_TOKENS, chunk_contents, has_paragraphs, locate_chunks, section_parts
 
 _CHUNKS_TYPE = "array<struct<content:string,section_path:array<string>>>"
 
@@ -59,13 +59,21 @@ def extract_pages(fetched: DataFrame) -> DataFrame:
 
 def stage_chunks(rows: DataFrame, needed: Column, max_tokens: int = MAX_TOKENS,
                  token_re: str = TOKEN_RE) -> DataFrame:
-    """Add ``sections``, ``chunks`` and ``spans`` arrays, computed only where ``needed``."""
+    """Add ``sections``, ``has_chunks``, and the ``chunks`` and ``spans`` arrays where ``needed``.
+
+    Whether a document has chunks is known before it is tokenised, so outcomes
+    alone never pay for the chunking.
+    """
+    there = F.col("body").isNotNull()
     return (
-        rows.withColumn("sections", F.when(F.col("body").isNotNull(), parse_sections("body")).cast(SECTION_TYPE))
-        .withColumn("chunks", F.when(needed & F.col("body").isNotNull(), chunk_contents(
-            F.col("body"), F.col("sections"), max_tokens, token_re)).cast(_CHUNKS_TYPE))
+        rows.withColumn("sections", F.when(there, parse_sections("body")).cast(SECTION_TYPE))
+        .withColumn("_parts", F.when(needed & there, section_parts(F.col("body"), F.col("sections"))))
+        .withColumn("has_chunks", has_paragraphs(F.col("_parts")))
+        .withColumn("chunks", F.when(F.col("has_chunks"), chunk_contents(
+            F.col("_parts"), max_tokens, token_re)).cast(_CHUNKS_TYPE))
         .withColumn("spans", F.when(F.col("chunks").isNotNull(), locate_chunks(
             F.transform("chunks", lambda c: c["content"]), F.col("body"))))
+        .drop("_parts")
     )
 
 
@@ -94,7 +102,7 @@ def stage_pages(log: DataFrame, documents: DataFrame, source_type: str,
         .when(F.col("content").isNull(), F.lit("crawler returned OK with empty body"))
         .when(F.col("body").isNull(), F.lit("extractor yielded no body (possibly JS-rendered or empty page)"))
         .when(F.col("_same"), F.lit(None))
-        .when(F.coalesce(F.size("chunks"), F.lit(0)) < 1, F.lit("chunker produced 0 chunks"))
+        .when(~F.col("has_chunks"), F.lit("chunker produced 0 chunks"))
     )
     outcome = (
         F.when(F.col("error_message").isNotNull(), "error")
@@ -140,7 +148,7 @@ def stage_vault(files: DataFrame, documents: DataFrame, source_type: str,
     error = (
         F.when(F.col("_same"), F.lit(None))
         .when(F.col("body").isNull(), F.lit("empty body"))
-        .when(F.coalesce(F.size("chunks"), F.lit(0)) < 1, F.lit("chunker produced 0 chunks"))
+        .when(~F.col("has_chunks"), F.lit("chunker produced 0 chunks"))
     )
     checked = staged.withColumn("error_message", error).withColumn("url", F.coalesce(meta("source"), meta("url")))
     is_new = F.col("error_message").isNull() & ~F.col("_same") & F.col("old_id").isNull()
@@ -203,29 +211,36 @@ def merge_documents(documents: DataFrame, staged: DataFrame, now: Column) -> Dat
     A value that is null in the run never overwrites a stored one; times always
     move. Rows of failed items and documents missing from the run stay as they are.
     """
-    seen = staged.where(F.col("outcome") != "error").drop("body", "sections", "chunks", "spans", "source_ref", "error_message")
-    changes = seen.where(F.col("outcome") != "ingested")
-    n = changes.select(
-        "document_id",
-        *[F.when(F.col("outcome") == "updated", F.col(c)).alias(f"_{c}")
-          for c in ("title", "description", "lang", "metadata")],
-        *[F.col(c).alias(f"_{c}") for c in ("etag", "last_modified", "content_hash")],
-        F.lit(True).alias("_seen"),
+    # One full join reads the run once, whether its rows patch a document or add one.
+    run = staged.where(F.col("outcome") != "error").select(
+        "document_id", F.col("outcome").alias("_outcome"),
+        *[F.col(c).alias(f"_{c}") for c in (
+            "title", "description", "url", "content_path", "source_type", "lang", "etag", "last_modified",
+            "content_hash", "metadata")],
     )
-    kept = documents.join(n, "document_id", "left")
-    patched = ("title", "description", "lang", "etag", "last_modified", "content_hash", "metadata")
-    old = kept.select(*[
-        F.coalesce(f"_{c}", c).alias(c) if c in patched
-        else F.when(F.col("_seen"), now).otherwise(F.col(c)).alias(c) if c in ("last_crawled_at", "updated_at")
-        else F.col(c)
-        for c in documents.columns
-    ])
-    new = seen.where(F.col("outcome") == "ingested").drop("outcome").withColumns({
-        "description": F.coalesce("description", F.lit("")),
-        "metadata": F.coalesce("metadata", F.create_map().cast("map<string,string>")),
-        "last_crawled_at": now, "created_at": now, "updated_at": now,
-    })
-    return old.unionByName(new.select(*documents.columns))
+    old = documents.withColumn("_stored", F.lit(True))
+    both = old.join(run, "document_id", "full").where(
+        F.col("_stored").isNotNull() | (F.col("_outcome") == "ingested")
+    )
+    is_new, seen = F.col("_stored").isNull(), F.col("_outcome").isNotNull()
+    changed = seen & (F.col("_outcome") != "unchanged")
+    empty = F.create_map().cast("map<string,string>")
+
+    def value(name: str) -> Column:
+        if name in ("title", "description", "lang", "metadata"):
+            patched = F.coalesce(F.when(changed, F.col(f"_{name}")), F.col(name))
+            if name == "description":
+                return F.when(is_new, F.coalesce(patched, F.lit(""))).otherwise(patched)
+            return F.when(is_new, F.coalesce(patched, empty)).otherwise(patched) if name == "metadata" else patched
+        if name in ("etag", "last_modified", "content_hash"):
+            return F.coalesce(F.col(f"_{name}"), F.col(name))
+        if name in ("url", "content_path", "source_type"):
+            return F.when(is_new, F.col(f"_{name}")).otherwise(F.col(name))
+        if name in ("last_crawled_at", "updated_at"):
+            return F.when(seen, now).otherwise(F.col(name))
+        return F.when(is_new, now).otherwise(F.col(name)) if name == "created_at" else F.col(name)
+
+    return both.select(*[value(c).alias(c) for c in documents.columns])
 
 
 def clear_crawl_state(documents: DataFrame, failed: DataFrame, now: Column) -> DataFrame:

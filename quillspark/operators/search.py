@@ -12,11 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import TERM_RE, is_blank, strip, terms
-from ..session import broadcast_if_small, fits_broadcast
+from ..session import broadcast_if_small, settle
 from .index import Index
 
 K1 = 1.2
@@ -32,6 +35,10 @@ DEFAULT_SOURCE_TYPE = "docs"
 # order their parts were summed in; ties go to the smaller chunk id.
 SCORE_DIGITS = 9
 _QUERY_BLOCK = 256
+_ROW_BLOCK = 1024
+# What one batch of queries may send to every task; larger batches go another way.
+MAX_SHARED_WEIGHTS = 1_000_000
+MAX_SHARED_VECTORS = 8192
 _SALTS = 64
 
 
@@ -71,50 +78,61 @@ def allowed_sources(df: DataFrame, allowed: Sequence[str] | None,
 # --- local top-k -----------------------------------------------------------------
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query's scores, ties by id."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > floor)
-        tied = np.flatnonzero(scores == floor)
-        need = k - len(above)
-        if len(tied) > need:
-            tied = tied[np.argsort(ids[tied], kind="stable")[:need]]
-        pick = np.concatenate([above, tied])
-        scores, ids = scores[pick], ids[pick]
-    return scores, ids
-
-
 class _TopK:
-    """Best k rows per query seen by one task so far."""
+    """Best k rows per query seen by one task so far, ties by chunk id.
 
-    def __init__(self, query_ids: Sequence, ks: np.ndarray):
-        self.query_ids, self.ks = query_ids, ks
-        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    ``floor`` is a score that k rows of a query already reach; rows below it are
+    dropped at once, rows that tie with it are kept until they are compared by id.
+    """
 
-    def add(self, first_query: int, scores: np.ndarray, ids: np.ndarray, matched: np.ndarray | None) -> None:
+    def __init__(self, query_ids: Sequence, ks: np.ndarray):
+        self.query_ids, self.ks = query_ids, np.asarray(ks)
+        self.floor = np.full(len(query_ids), -np.inf)
+        self.parts: list[pd.DataFrame] = []
+        self.waiting = 0
+        self.limit = max(200_000, 4 * int(self.ks.sum()))
+
+    def add(self, first: int, scores: np.ndarray, ids: pa.Array) -> None:
+        """``scores`` has one row per id and one column per query; ``-inf`` is no match."""
         scores = np.round(scores, SCORE_DIGITS)
-        for j in range(scores.shape[1]):
-            q = first_query + j
-            rows = slice(None) if matched is None else np.flatnonzero(matched[:, j])
-            s, i = scores[rows, j], ids[rows]
-            if not len(s):
-                continue
-            s, i = _best(s, i, self.ks[q])
-            if q in self.kept:
-                s, i = _best(np.concatenate([self.kept[q][0], s]), np.concatenate([self.kept[q][1], i]), self.ks[q])
-            self.kept[q] = (s, i)
-
-    def frames(self) -> Iterator[pd.DataFrame]:
-        for q, (s, i) in self.kept.items():
-            yield pd.DataFrame({"query_id": self.query_ids[q], "chunk_id": i, "score": s})
-
-
-def _ranked(scored: DataFrame, k: Column) -> DataFrame:
-    """Final ranking; the constant bound lets each map task drop what cannot rank."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_TOP_K * OVERFETCH)
-    return top.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
+        width, deepest = scores.shape[1], int(self.ks.max())
+        floor = self.floor[first:first + width]
+        if len(scores) >= deepest:
+            np.maximum(floor, np.partition(scores, len(scores) - deepest, axis=0)[len(scores) - deepest], out=floor)
+        rows, cols = np.nonzero((scores >= floor) & (scores > -np.inf))
+        if len(rows):
+            self.parts.append(pd.DataFrame({
+                "q": cols + first, "score": scores[rows, cols], "id": ids.take(pa.array(rows)).to_pandas(),
+            }))
+            self.waiting += len(rows)
+        if self.waiting > self.limit:
+            self._compact()
+
+    def _compact(self) -> pd.DataFrame:
+        every = pd.concat(self.parts, ignore_index=True).sort_values(["q", "score", "id"], ascending=[True, False, True])
+        nth = every.groupby("q").cumcount().to_numpy()
+        limit = self.ks[every["q"].to_numpy()]
+        last = every[nth == limit - 1]
+        self.floor[last["q"].to_numpy()] = np.maximum(self.floor[last["q"].to_numpy()], last["score"].to_numpy())
+        best = every[nth < limit]
+        self.parts, self.waiting = [best], len(best)
+        return best
+
+    def batches(self, query_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            best = self._compact()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([self.query_ids[q] for q in best["q"]], type=query_type),
+                    pa.array(best["id"], type=pa.string()), pa.array(best["score"], type=pa.float64()),
+                ],
+                names=["query_id", "chunk_id", "score"],
+            )
+
+
+def _result_types(limits: DataFrame) -> tuple[str, pa.DataType]:
+    data_type = limits.schema["query_id"].dataType
+    return f"query_id {data_type.simpleString()}, chunk_id string, score double", to_arrow_type(data_type)
 
 
 def _with_k(queries: DataFrame, k: int | None, factor: int = 1) -> DataFrame:
@@ -131,24 +149,31 @@ def _with_k(queries: DataFrame, k: int | None, factor: int = 1) -> DataFrame:
 
 
 def query_weights(queries: DataFrame, index: Index, term_re: str = TERM_RE) -> DataFrame:
-    """``query_id, term, weight`` with weight = idf × number of times the query repeats the term."""
+    """``query_id, term, code, weight``: idf × number of times the query repeats the term.
+
+    ``code`` is the 64-bit hash that scoring compares. Every stored term with the
+    code of a query term is returned as ``stored_term``, so that two terms with
+    one code can be noticed.
+    """
     wanted = (
         queries.select("query_id", F.explode(terms("query", term_re)).alias("term"))
         .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        .withColumn("code", F.xxhash64("term"))
     )
+    stored = index.term_stats.select(F.col("term").alias("stored_term"), "df", F.xxhash64("term").alias("code"))
     stats = index.corpus_stats.select("n_chunks").withColumn("_one", F.lit(1))
     idf = F.log(F.lit(1.0) + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (
-        broadcast_if_small(wanted).join(index.term_stats, "term")
+        broadcast_if_small(wanted).join(stored, "code")
         .withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
-        .select("query_id", "term", (idf * F.col("qtf")).alias("weight"))
+        .select("query_id", "term", "stored_term", "code", (idf * F.col("qtf")).alias("weight"))
     )
 
 
-def _tf_part(avg_dl: float) -> Column:
-    """Saturated term frequency of one (term, tf) pair of a chunk."""
+def _saturated(tf: Column, avg_dl: float) -> Column:
+    """Saturated frequency of a term that occurs ``tf`` times in a chunk of ``dl`` terms."""
     norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(float(avg_dl)))
-    return F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + norm)
+    return tf * F.lit(K1 + 1.0) / (tf + norm)
 
 
 def keyword_topk(queries: DataFrame, index: Index, k: int | None = None,
@@ -158,73 +183,66 @@ def keyword_topk(queries: DataFrame, index: Index, k: int | None = None,
     wanted = _with_k(queries, k, factor)
     weights = query_weights(wanted, index, term_re)
     rows = allowed_sources(index.chunk_terms, allowed, default_source)
-    stats = index.corpus_stats.first()
-    avg_dl = stats["avg_dl"] or 1.0
+    avg_dl = index.corpus_stats.first()["avg_dl"] or 1.0
     limits = wanted.select("query_id", "_k")
-    if force_shuffle or not fits_broadcast(weights):
-        return _keyword_by_join(rows, weights, limits, avg_dl)
-    return _keyword_by_scan(rows, weights, limits, avg_dl)
+    if not force_shuffle:
+        table = weights.join(limits, "query_id").limit(MAX_SHARED_WEIGHTS + 1).toPandas()
+        # Two different terms under one code (or too many weights) need the exact join.
+        if len(table) <= MAX_SHARED_WEIGHTS and (table["term"] == table["stored_term"]).all():
+            return _keyword_by_scan(rows, table, limits, avg_dl)
+    return _keyword_by_join(rows, weights.where("term = stored_term"), limits, avg_dl)
 
 
-def _keyword_by_scan(rows: DataFrame, weights: DataFrame, limits: DataFrame, avg_dl: float) -> DataFrame:
-    spark = rows.sparkSession
-    table = weights.join(limits, "query_id").toPandas().sort_values(["query_id", "term"])
-    query_ids = table["query_id"].drop_duplicates().tolist()
+def _keyword_by_scan(rows: DataFrame, table: pd.DataFrame, limits: DataFrame, avg_dl: float) -> DataFrame:
+    table = table.sort_values(["code", "query_id"])
+    query_ids = sorted(table["query_id"].unique().tolist())
     position = {q: n for n, q in enumerate(query_ids)}
-    ks = table.drop_duplicates("query_id")["_k"].to_numpy()
-    vocabulary = {t: n for n, t in enumerate(table["term"].drop_duplicates())}
-    shared = spark.sparkContext.broadcast({
-        "query_ids": query_ids, "ks": ks, "vocabulary": vocabulary,
-        "term": table["term"].map(vocabulary).to_numpy(dtype=np.int64),
+    codes, first = np.unique(table["code"].to_numpy(dtype=np.int64), return_index=True)
+    shared = rows.sparkSession.sparkContext.broadcast({
+        "query_ids": query_ids,
+        "ks": table.drop_duplicates("query_id").set_index("query_id")["_k"].reindex(query_ids).to_numpy(),
+        # Term t belongs to the queries query[start[t]:start[t + 1]], with these weights.
+        "codes": codes, "start": np.append(first, len(table)),
         "query": table["query_id"].map(position).to_numpy(dtype=np.int64),
         "weight": table["weight"].to_numpy(dtype=np.float64),
     })
+    schema, query_type = _result_types(limits)
 
-    # Only terms some query asks for leave the JVM, each with its saturated frequency.
-    norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(float(avg_dl)))
+    # Terms cross to Python as numbers; the saturated frequency is computed before that.
     slim = rows.select(
-        "chunk_id", F.col("terms.term").alias("term"),
-        F.transform("terms.tf", lambda tf: tf * F.lit(K1 + 1.0) / (tf + norm)).alias("part"),
+        "chunk_id", F.transform("terms.term", lambda t: F.xxhash64(t)).alias("code"),
+        F.transform("terms.tf", lambda tf: _saturated(tf, avg_dl)).alias("part"),
     )
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
+        if not len(q["query_ids"]):
+            return
         top = _TopK(q["query_ids"], q["ks"])
-        blocks = []
-        for first in range(0, len(q["query_ids"]), _QUERY_BLOCK):
-            mine = (q["query"] >= first) & (q["query"] < first + _QUERY_BLOCK)
-            width = min(_QUERY_BLOCK, len(q["query_ids"]) - first)
-            used, local = np.unique(q["term"][mine], return_inverse=True)
-            dense = np.zeros((len(used), width))
-            dense[local, q["query"][mine] - first] = q["weight"][mine]
-            slot = np.full(len(q["vocabulary"]), -1, dtype=np.int64)
-            slot[used] = np.arange(len(used))
-            blocks.append((first, dense, slot))
-        lookup = q["vocabulary"].get
-        for pdf in batches:
-            ids = pdf["chunk_id"].to_numpy(dtype=object)
-            sizes = pdf["term"].map(len).to_numpy()
-            if not sizes.sum():
-                continue
-            words = np.concatenate(pdf["term"].to_numpy())
-            parts = np.concatenate(pdf["part"].to_numpy()).astype(np.float64)
-            codes = np.fromiter((lookup(w, -1) for w in words), dtype=np.int64, count=len(words))
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            known = codes >= 0
-            codes, parts, owner = codes[known], parts[known], owner[known]
-            for first, dense, slot in blocks:
-                here = slot[codes]
-                inside = here >= 0
-                if not inside.any():
+        width = len(q["query_ids"])
+        for batch in batches:
+            for low in range(0, batch.num_rows, _ROW_BLOCK):
+                part = batch.slice(low, _ROW_BLOCK)
+                code = part.column("code").flatten().to_numpy()
+                if not len(code):
                     continue
-                rows_, starts = np.unique(owner[inside], return_index=True)
-                scores = np.add.reduceat(dense[here[inside]] * parts[inside][:, None], starts, axis=0)
-                top.add(first, scores, ids[rows_], scores > 0)
-        yield from top.frames()
+                value = part.column("part").flatten().to_numpy()
+                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("code")).to_numpy())
+                at = np.minimum(np.searchsorted(q["codes"], code), len(q["codes"]) - 1)
+                known = q["codes"][at] == code
+                at, value, owner = at[known], value[known], owner[known]
+                if not len(at):
+                    continue
+                # One entry per (posting, query that asks for its term).
+                times = q["start"][at + 1] - q["start"][at]
+                entry = np.repeat(q["start"][at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                cell = np.repeat(owner, times) * width + q["query"][entry]
+                total = np.bincount(cell, q["weight"][entry] * np.repeat(value, times), part.num_rows * width)
+                total[total <= 0] = -np.inf
+                top.add(0, total.reshape(part.num_rows, width), part.column("chunk_id"))
+        yield from top.batches(query_type)
 
-    id_type = limits.schema["query_id"].dataType.simpleString()
-    found = slim.mapInPandas(score, f"query_id {id_type}, chunk_id string, score double")
-    return _ranked_with_limits(found, limits)
+    return _ranked_with_limits(slim.mapInArrow(score, schema), limits)
 
 
 def _keyword_by_join(rows: DataFrame, weights: DataFrame, limits: DataFrame, avg_dl: float) -> DataFrame:
@@ -237,7 +255,7 @@ def _keyword_by_join(rows: DataFrame, weights: DataFrame, limits: DataFrame, avg
     scored = (
         postings.join(spread, ["term", "_salt"])
         .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("weight") * _tf_part(avg_dl)), SCORE_DIGITS).alias("score"))
+        .agg(F.round(F.sum(F.col("weight") * _saturated(F.col("tf"), avg_dl)), SCORE_DIGITS).alias("score"))
         .where(F.col("score") > 0)
     )
     return _ranked_with_limits(scored, limits)
@@ -270,41 +288,40 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int | None = None,
         limit = F.coalesce(F.col("top_k"), limit)
     wanted = queries.select("query_id", "embedding", (limit * factor).cast("int").alias("_k"))
     rows = allowed_sources(vectors, allowed, default_source).select("chunk_id", "embedding")
-    id_type = wanted.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, chunk_id string, score double"
-
-    n_blocks = 1
-    if not fits_broadcast(wanted):
-        n_blocks = max(2, -(-wanted.count() // 4096))
+    schema, query_type = _result_types(wanted)
+
+    tables = [wanted.limit(MAX_SHARED_VECTORS + 1).toPandas()]
+    if len(tables[0]) > MAX_SHARED_VECTORS:
+        blocks = -(-wanted.count() * 2 // MAX_SHARED_VECTORS)
+        tables = (
+            wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas() for n in range(blocks)
+        )
     found = None
-    for block in range(n_blocks):
-        part = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-        table = part.toPandas().sort_values("query_id")
+    for table in tables:
         if not len(table):
             continue
         shared = spark.sparkContext.broadcast((
-            table["query_id"].tolist(), table["_k"].to_numpy(),
-            np.vstack(table["embedding"].to_numpy()).astype(np.float64),
+            table["query_id"].tolist(), table["_k"].to_numpy(), np.vstack(table["embedding"].to_numpy()).astype(np.float64),
         ))
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, ks, matrix = shared.value
-            q_norm = np.linalg.norm(matrix, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
             top = _TopK(query_ids, ks)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                ids = pdf["chunk_id"].to_numpy(dtype=object)
-                stored = np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(stored, axis=1)
-                for first in range(0, len(query_ids), _QUERY_BLOCK):
-                    block_q = matrix[first:first + _QUERY_BLOCK]
-                    scale = norm[:, None] * q_norm[None, first:first + _QUERY_BLOCK]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        top.add(first, (stored @ block_q.T) / scale, ids, scale > 0)
-            yield from top.frames()
-
-        hits = rows.mapInPandas(score, schema)
+            for batch in batches:
+                for low in range(0, batch.num_rows, _ROW_BLOCK):
+                    part = batch.slice(low, _ROW_BLOCK)
+                    stored = part.column("embedding").flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
+                    norm = np.linalg.norm(stored, axis=1, keepdims=True)
+                    for first in range(0, len(query_ids), _QUERY_BLOCK):
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            cosine = stored @ unit[first:first + _QUERY_BLOCK].T / norm
+                        cosine[~np.isfinite(cosine)] = -np.inf
+                        top.add(first, cosine, part.column("chunk_id"))
+            yield from top.batches(query_type)
+
+        hits = rows.mapInArrow(score, schema)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -333,6 +350,7 @@ def hybrid_topk(queries: DataFrame, index: Index, k: int | None = None, allowed:
 
     ``queries(query_id, query, embedding[, top_k])``.
     """
+    queries = settle(queries, "queries")
     sparse = keyword_topk(queries, index, k, allowed, default_source, factor=OVERFETCH)
     dense = vector_topk(queries.where(~is_blank("query")), index.vectors, k, allowed, default_source, factor=OVERFETCH)
     return rrf_fuse([dense, sparse], _with_k(queries, k).select("query_id", "_k"), rrf_k)
@@ -353,17 +371,18 @@ def cap_per_document(hits: DataFrame, max_per_document: int = MAX_PER_DOCUMENT)
 def hit_rows(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Attach the stored payload to ranked chunk ids, with the defaults of the hit shape.
 
-    Ranked lists hold at most k rows per query, so they are the measured,
-    broadcast side and the payload table is scanned once, unshuffled.
+    Ranked lists hold at most k rows per query. They are written first, so the
+    search runs once however often the hits are read, and are the measured,
+    broadcast side of one unshuffled scan of the payload table.
     """
-    joined = broadcast_if_small(ranked).join(chunks, "chunk_id")
+    joined = broadcast_if_small(settle(ranked, "ranked")).join(chunks, "chunk_id")
     have = set(joined.columns)
 
     def col(name: str, default: Column) -> Column:
         return (F.coalesce(F.col(name), default) if name in have else default).alias(name)
 
     none = F.lit(None).cast("string")
-    return joined.select(
+    shaped = joined.select(
         "query_id", "rank", "chunk_id",
         col("document_id", F.lit("")), col("document_title", F.lit("Untitled")),
         col("document_url", none), col("document_content_path", none),
@@ -371,6 +390,7 @@ def hit_rows(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
         col("section_path", F.array().cast("array<string>")), col("anchor", none),
         col("chunk_index", F.lit(0)), col("char_start", F.lit(0)), col("char_end", F.lit(0)), "score",
     )
+    return settle(shaped, "hits")
 
 
 def citation_rows(hits: DataFrame) -> DataFrame:

@@ -87,3 +87,14 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     """Hint a broadcast when the measured size allows, else leave it to the optimizer."""
     return F.broadcast(df) if fits_broadcast(df, **limits) else df
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    The lineage ends at the written table in the shared folder: nothing above it
+    runs again, and a lost executor only rereads files.
+    """
+    path = new_work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
