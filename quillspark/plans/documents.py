@@ -99,21 +99,107 @@ def chunk_anchor_join(spark, sf_dir):
     ).select("document_id", "z.char_offset", "z.anchor")
 
 
-@query()
+TOKENS_SQL = "'[\\p{L}\\p{N}_]{1,16}|[^\\p{L}\\p{N}_\\s]'"
+SPACED_SQL = "'\\s*(?:[\\p{L}\\p{N}_]{1,16}|[^\\p{L}\\p{N}_\\s])'"
+
+# Packing is a recursion over the pieces of a section, all sections in step; locating
+# is one over the chunks of a document.
+PACKED = f"""
+ck_lines AS (
+  SELECT document_id, i, rl, bare, starts_with(rl, '#') AND (document_id, bare) IN (SELECT document_id, text FROM md_sections) AS is_head
+  FROM (SELECT document_id, i, rtrim(line, {T.WS}) AS rl, trim(ltrim(rtrim(line, {T.WS}), '# '), {T.WS}) AS bare FROM md_lines)
+),
+ck_numbered AS (
+  SELECT *, sum(CAST(is_head AS INTEGER)) OVER w AS head_no, sum(CAST(rl = '' AS INTEGER)) OVER w AS blank_no,
+         CASE WHEN is_head THEN least(6, length(regexp_extract(rl, '^#+'))) END AS level
+  FROM ck_lines WINDOW w AS (PARTITION BY document_id ORDER BY i)
+),
+ck_paras AS (
+  SELECT document_id, head_no, blank_no, trim(string_agg(rl, chr(10) ORDER BY i), {T.WS}) AS text
+  FROM ck_numbered WHERE NOT is_head AND rl <> '' GROUP BY document_id, head_no, blank_no
+),
+ck_h1 AS (SELECT *, max(CASE WHEN level = 1 THEN head_no END) OVER (PARTITION BY document_id ORDER BY head_no) AS n1 FROM ck_numbered WHERE is_head),
+ck_h2 AS (SELECT *, max(CASE WHEN level = 2 THEN head_no END) OVER (PARTITION BY document_id, coalesce(n1, -1) ORDER BY head_no) AS n2 FROM ck_h1),
+ck_paths AS (
+  SELECT h.document_id, h.head_no, h.bare AS heading,
+         list_filter([CASE WHEN h.level > 1 THEN a.bare END, CASE WHEN h.level > 2 THEN b.bare END, h.bare], lambda x: x IS NOT NULL) AS path
+  FROM ck_h2 h LEFT JOIN ck_h1 a ON a.document_id = h.document_id AND a.head_no = h.n1
+  LEFT JOIN ck_h1 b ON b.document_id = h.document_id AND b.head_no = h.n2
+),
+ck_used AS (
+  SELECT *, CASE WHEN n > 256 THEN 0 ELSE n END AS used
+  FROM (SELECT *, len(regexp_extract_all(array_to_string(path, chr(10)), {TOKENS_SQL})) AS n FROM ck_paths)
+),
+ck_sized AS (
+  SELECT p.*, coalesce(u.used, 0) AS used, 512 - coalesce(u.used, 0) AS budget, u.path, u.heading,
+         regexp_extract_all(p.text, {SPACED_SQL}) AS toks
+  FROM ck_paras p LEFT JOIN ck_used u ON u.document_id = p.document_id AND u.head_no = p.head_no
+),
+ck_cut AS (SELECT *, unnest(range((greatest(len(toks), 1) - 1) // budget + 1)) AS piece FROM ck_sized),
+ck_pieces AS (
+  SELECT document_id, head_no, used, budget, path, heading,
+         CASE WHEN len(toks) <= budget THEN text ELSE trim(array_to_string(toks[piece * budget + 1:(piece + 1) * budget], ''), {T.WS}) END AS text,
+         least(budget, len(toks) - piece * budget) AS n,
+         row_number() OVER (PARTITION BY document_id, head_no ORDER BY blank_no, piece) AS r
+  FROM ck_cut
+),
+ck_packed AS (
+  SELECT document_id, head_no, r, 0 AS chunk_no, n AS total FROM ck_pieces WHERE r = 1
+  UNION ALL
+  SELECT p.document_id, p.head_no, p.r, CASE WHEN k.total + p.n <= p.budget THEN k.chunk_no ELSE k.chunk_no + 1 END,
+         CASE WHEN k.total + p.n <= p.budget THEN k.total + p.n ELSE p.n END
+  FROM ck_packed k JOIN ck_pieces p ON p.document_id = k.document_id AND p.head_no = k.head_no AND p.r = k.r + 1
+),
+ck_chunks AS (
+  SELECT p.document_id, CAST(row_number() OVER (PARTITION BY p.document_id ORDER BY p.head_no, k.chunk_no) - 1 AS INTEGER) AS chunk_index,
+         any_value(p.heading) AS heading, coalesce(array_to_string(any_value(p.path), ' › '), '') AS breadcrumb,
+         CASE WHEN any_value(p.used) > 0 THEN array_to_string(any_value(p.path), chr(10)) || chr(10) ELSE '' END
+           || string_agg(p.text, chr(10) ORDER BY p.r) AS content
+  FROM ck_packed k JOIN ck_pieces p ON p.document_id = k.document_id AND p.head_no = k.head_no AND p.r = k.r
+  GROUP BY p.document_id, p.head_no, k.chunk_no
+)"""
+
+LOCATED = f"""
+bodies AS (SELECT document_id, string_agg(line, chr(10) ORDER BY i) AS body FROM md_lines GROUP BY document_id),
+probes AS (
+  SELECT c.document_id, c.chunk_index, c.content, length(c.content) AS n, b.body,
+         list_filter(string_split(c.content, chr(10)), lambda x: trim(x, {T.WS}) <> '')[1] AS probe,
+         strpos(b.body, c.content) AS anywhere
+  FROM ck_chunks c JOIN bodies b ON b.document_id = c.document_id
+),
+located AS (
+  SELECT document_id, chunk_index, char_start, char_end FROM (
+    SELECT *, CASE WHEN anywhere > 0 THEN anywhere - 1 WHEN length(probe) >= 12 AND strpos(body, probe) > 0 THEN strpos(body, probe) - 1 ELSE 0 END AS char_start,
+           CASE WHEN anywhere > 0 OR (length(probe) >= 12 AND strpos(body, probe) > 0)
+             THEN CASE WHEN anywhere > 0 THEN anywhere - 1 ELSE strpos(body, probe) - 1 END + n ELSE least(n, length(body)) END AS char_end
+    FROM probes WHERE chunk_index = 0)
+  UNION ALL
+  SELECT document_id, chunk_index, coalesce(hit, cur), CASE WHEN hit IS NULL THEN least(cur + n, size) ELSE hit + n END FROM (
+    SELECT p.document_id, p.chunk_index, l.char_end AS cur, p.n, length(p.body) AS size,
+           CASE WHEN strpos(substr(p.body, l.char_end + 1), p.content) > 0 THEN l.char_end + strpos(substr(p.body, l.char_end + 1), p.content) - 1
+                WHEN p.anywhere > 0 THEN p.anywhere - 1
+                WHEN length(p.probe) >= 12 AND strpos(substr(p.body, l.char_end + 1), p.probe) > 0
+                  THEN l.char_end + strpos(substr(p.body, l.char_end + 1), p.probe) - 1 END AS hit
+    FROM located l JOIN probes p ON p.document_id = l.document_id AND p.chunk_index = l.chunk_index + 1)
+)"""
+
+
+@query(T.with_ctes("RECURSIVE " + T.DOCS.strip(), T.MARKED, PACKED) + """
+, last_anchor AS (SELECT document_id, text, arg_max(anchor, char_offset) AS anchor FROM md_sections GROUP BY document_id, text)
+SELECT c.document_id || '-' || chunk_index AS chunk_id, c.document_id, chunk_index, content, breadcrumb, a.anchor
+FROM ck_chunks c LEFT JOIN last_anchor a ON a.document_id = c.document_id AND a.text = c.heading""")
 def token_chunks(spark, sf_dir):
     return chunk_documents(T.markdown_documents(spark, sf_dir)).select(
         "chunk_id", "document_id", "chunk_index", "content", F.array_join("section_path", " › ").alias("breadcrumb"), "anchor"
     )
 
 
-@query()
+@query(T.with_ctes("RECURSIVE " + T.DOCS.strip(), T.MARKED, PACKED, LOCATED) + """
+SELECT document_id || '-' || chunk_index AS chunk_id, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end FROM located""")
 def chunk_offsets(spark, sf_dir):
     return chunk_documents(T.markdown_documents(spark, sf_dir)).select("chunk_id", "char_start", "char_end")
 
 
-TOKENS_SQL = "'[\\p{L}\\p{N}_]{1,16}|[^\\p{L}\\p{N}_\\s]'"
-
-
 @query(T.with_ctes(T.DOCS) + f"""
 SELECT document_id, len(regexp_extract_all(body, {TOKENS_SQL})) AS n_tokens,
        CASE WHEN len(regexp_extract_all(body, {TOKENS_SQL})) <= 300 THEN body
