@@ -75,10 +75,8 @@ def read_vault(spark: SparkSession, root: str, nested: bool = False) -> DataFram
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
         .load(root)
     )
-    base = root.rstrip("/").removeprefix("file:")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/{0,2}(?=/|[^/])", ""), "^.*?" + _quote(base) + "/+", "")
-    return parse_notes(files.select(F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("content_path"), "content"), nested)
-
-
-def _quote(text: str) -> str:
-    return "\\Q" + text + "\\E"
+    # Paths come back fully qualified, so the root is qualified the same way.
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(top).toString().rstrip("/")
+    rel = F.substring("path", len(base) + 2, 1_000_000)
+    return parse_notes(files.select(rel.alias("content_path"), "content"), nested)
