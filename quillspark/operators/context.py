@@ -141,13 +141,13 @@ def render_documents(requests: DataFrame, documents: DataFrame, chunks: DataFram
         .select("document_id", "title", "chunk_id", "chunk_index", strip("content").alias("content"), crumb.alias("crumb"))
     )
     filled = rows.where(F.col("content") != "")
-    seen = last_before(filled, ["document_id"], "chunk_index", F.col("crumb"), "seen")
+    seen = last_before(filled, ["document_id"], "chunk_index", F.col("crumb"), "seen", source=chunks)
     heading = F.when(
         F.col("crumb").isNotNull() & ~F.col("crumb").eqNullSafe(F.col("seen")), F.concat("crumb", F.lit("\n\n"))
     ).otherwise("")
     pieces = seen.withColumn("piece", F.concat(_marker(F.col("chunk_id")), heading, F.col("content")))
     header = F.concat(F.lit("# "), F.coalesce("title", F.lit("Unknown Document")), F.lit("\n"))
-    sized = running_sum(pieces, ["document_id"], "chunk_index", F.length("piece") + 2, "used")
+    sized = running_sum(pieces, ["document_id"], "chunk_index", F.length("piece") + 2, "used", source=chunks)
     fits = F.length(header) + F.col("used") <= max_chars
     # What is collected per document is bounded by max_chars.
     texts = sized.groupBy("document_id").agg(

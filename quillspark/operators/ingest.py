@@ -16,6 +16,11 @@ from .chunking import MAX_TOKENS, chunk_contents, has_paragraphs, locate_chunks,
 _CHUNKS_TYPE = "array<struct<content:string,section_path:array<string>>>"
 
 
+def _spread_nulls(key: str, other: str) -> Column:
+    """A join key in which missing values differ from each other and match nothing."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col(other)))
+
+
 def classify_fetch(log: DataFrame) -> DataFrame:
     """Add ``status`` (ok, not_modified, skipped_robots, error) and ``error`` to a fetch log."""
     bad_scheme = ~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False))
@@ -152,12 +157,14 @@ def stage_vault(files: DataFrame, documents: DataFrame, source_type: str,
     )
     checked = staged.withColumn("error_message", error).withColumn("url", F.coalesce(meta("source"), meta("url")))
     is_new = F.col("error_message").isNull() & ~F.col("_same") & F.col("old_id").isNull()
-    taken = documents.where(F.col("url").isNotNull()).select("url").distinct().withColumn("_taken", F.lit(True))
+    taken = documents.where(F.col("url").isNotNull()).select(F.col("url").alias("_key")).distinct().withColumn("_taken", F.lit(True))
     first = (
-        checked.where(is_new & F.col("url").isNotNull()).groupBy("url")
+        checked.where(is_new & F.col("url").isNotNull()).groupBy(F.col("url").alias("_key"))
         .agg(F.min("content_path").alias("_winner"))
     )
-    settled = checked.join(taken, "url", "left").join(first, "url", "left").withColumn(
+    # Notes without a url get keys of their own, so they do not meet in one task.
+    keyed = checked.withColumn("_key", _spread_nulls("url", "content_path"))
+    settled = keyed.join(taken, "_key", "left").join(first, "_key", "left").withColumn(
         "error_message",
         F.when(
             is_new & F.col("url").isNotNull()
@@ -263,9 +270,12 @@ def replace_rows(existing: DataFrame, changed_ids: DataFrame, new: DataFrame, ke
 
 def reject_duplicate_keys(incoming: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that may be appended, and those whose url or path is already stored."""
-    by_url = documents.where(F.col("url").isNotNull()).select("url").distinct().withColumn("_u", F.lit(True))
-    by_path = documents.where(F.col("content_path").isNotNull()).select("content_path").distinct().withColumn("_p", F.lit(True))
-    marked = incoming.join(by_url, "url", "left").join(by_path, "content_path", "left")
+    by_url = documents.where(F.col("url").isNotNull()).select(F.col("url").alias("_uk")).distinct().withColumn("_u", F.lit(True))
+    by_path = documents.where(F.col("content_path").isNotNull()).select(F.col("content_path").alias("_pk")).distinct().withColumn("_p", F.lit(True))
+    keyed = incoming.withColumns({
+        "_uk": _spread_nulls("url", "content_path"), "_pk": _spread_nulls("content_path", "url"),
+    })
+    marked = keyed.join(by_url, "_uk", "left").join(by_path, "_pk", "left")
     clash = F.col("_u").isNotNull() | F.col("_p").isNotNull()
     return (
         marked.where(~clash).select(*incoming.columns),
