@@ -37,7 +37,7 @@ def parse_sections(body: Column | str) -> Column:
         marked = F.filter(
             F.transform(
                 F.arrays_zip(parts.alias("part"), starts.alias("start")),
-                lambda z: F.struct(F.split_part(z["part"], F.lit("\n"), F.lit(1)).alias("line"),
+                lambda z: F.struct(F.regexp_extract(z["part"], r"^[^\n]*", 0).alias("line"),
                                    z["start"].alias("start")),
             ),
             lambda z: z["line"].rlike(r"^#{1,6}[ \t]"),

@@ -19,6 +19,7 @@ MAX_TOKENS = 512
 MIN_PROBE = 12
 
 _LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+_TRAILING = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]+(?=\n|\z)"
 _MARK = "\x01"
 
 
@@ -41,27 +42,43 @@ def section_parts(body: Column, sections: Column) -> Column:
     left, is a parsed section; other ``#`` lines stay paragraph text.
     """
 
+    # One line break, no blanks before it, whatever the source used.
+    lines = F.regexp_replace(F.regexp_replace(body, _LINE_BREAK, "\n"), _TRAILING, "")
+
     def mark(texts: Column) -> Column:
-        def one(line: Column) -> Column:
-            bare = strip(F.ltrim(line, F.lit("# ")))
-            level = F.least(F.length(F.regexp_extract(line, "^#+", 0)), F.lit(6)).cast("string")
-            heading = F.concat(F.lit("\n\n" + _MARK), level, F.lit(_MARK), bare, F.lit("\n\n"))
-            return F.when(line.startswith("#") & F.array_contains(texts, bare), heading).otherwise(line)
+        def one(part: Column) -> Column:
+            return let(
+                F.regexp_extract(part, r"^[^\n]*", 0),
+                lambda line: let(
+                    strip(F.ltrim(line, F.lit("# "))),
+                    lambda bare: F.when(
+                        line.startswith("#") & F.array_contains(texts, bare),
+                        F.concat(
+                            F.lit("\n\n" + _MARK),
+                            F.least(F.length(F.regexp_extract(line, "^#+", 0)), F.lit(6)).cast("string"),
+                            F.lit(_MARK), bare, F.lit("\n\n"), F.substring(part, F.length(line) + 2, F.length(part)),
+                        ),
+                    ).otherwise(part),
+                ),
+            )
 
-        return F.array_join(F.transform(F.split(body, _LINE_BREAK), lambda line: one(rstrip(line))), "\n")
+        # Only a line that starts with `#` can be a heading, so the text is cut there.
+        return F.array_join(F.transform(F.split(lines, r"\n(?=#)"), one), "\n")
 
     marked = let(F.transform(sections, lambda s: s["text"]), mark)
     parts = F.split(marked, rf"\n\n(?={_MARK}[1-6]{_MARK})")
 
     def read(part: Column) -> Column:
-        has_head = part.rlike(f"^{_MARK}[1-6]{_MARK}")
-        first = F.split_part(part, F.lit("\n"), F.lit(1))
-        rest = F.when(has_head, F.substring(part, F.length(first) + 1, F.length(part))).otherwise(part)
-        blocks = F.filter(F.transform(F.split(rest, "\n{2,}"), strip), lambda p: p != "")
-        return F.struct(
-            F.when(has_head, F.substring(part, 2, 1).cast("int")).otherwise(F.lit(0)).alias("level"),
-            F.when(has_head, F.substring(first, 4, F.length(first))).alias("heading"),
-            blocks.alias("paragraphs"),
+        return let(
+            F.regexp_extract(part, f"^{_MARK}[1-6]{_MARK}[^\n]*", 0),
+            lambda first: F.struct(
+                F.when(first != "", F.substring(first, 2, 1).cast("int")).otherwise(F.lit(0)).alias("level"),
+                F.when(first != "", F.substring(first, 4, F.length(first))).alias("heading"),
+                F.filter(
+                    F.transform(F.split(F.substring(part, F.length(first) + 1, F.length(part)), "\n{2,}"), strip),
+                    lambda p: p != "",
+                ).alias("paragraphs"),
+            ),
         )
 
     return F.transform(parts, read)
