@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.sections import anchor_for, breadcrumbs, parse_sections
-from ..functions.text import TOKEN_RE, is_blank, rstrip, strip, token_count
+from ..functions.text import TOKEN_RE, is_blank, strip, token_count
 
 MAX_TOKENS = 512
 MIN_PROBE = 12
 
 _LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+_OTHER_BREAK = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_BLANK_END = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000](?:\n|\z)"
 _TRAILING = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]+(?=\n|\z)"
 _MARK = "\x01"
 
@@ -43,7 +45,11 @@ def section_parts(body: Column, sections: Column) -> Column:
     """
 
     # One line break, no blanks before it, whatever the source used.
-    lines = F.regexp_replace(F.regexp_replace(body, _LINE_BREAK, "\n"), _TRAILING, "")
+    # Most texts need neither step, and looking is much cheaper than replacing.
+    lines = let(
+        F.when(body.rlike(_OTHER_BREAK), F.regexp_replace(body, _LINE_BREAK, "\n")).otherwise(body),
+        lambda t: F.when(t.rlike(_BLANK_END), F.regexp_replace(t, _TRAILING, "")).otherwise(t),
+    )
 
     def mark(texts: Column) -> Column:
         def one(part: Column) -> Column:

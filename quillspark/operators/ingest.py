@@ -53,10 +53,12 @@ def extract_pages(fetched: DataFrame) -> DataFrame:
         .when(F.col("source_format") == "markdown", decode_markdown("content")),
     )
     is_html = F.col("source_format") == "html"
-    body = F.when(is_html, html_to_markdown("_text")).otherwise(F.col("_text"))
-    return decoded.select(
+    # Kept as a column of its own: the chain of replacements must run once per page.
+    converted = decoded.withColumn("_markdown", F.when(is_html, html_to_markdown("_text")))
+    return converted.select(
         *with_format.columns,
-        F.when(~is_blank(body), body).alias("body"),
+        F.when(is_html, F.when(F.col("_markdown") != "", F.col("_markdown")))
+        .otherwise(F.when(~is_blank("_text"), F.col("_text"))).alias("body"),
         F.when(is_html, html_title("_text")).alias("page_title"),
         F.when(is_html, html_lang("_text")).alias("page_lang"),
     )

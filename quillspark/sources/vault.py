@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import let
 from ..functions.text import decode_markdown, strip
 
 _BLOCK = r"(?s)^\s*-{3,}[ \t]*\r?\n(.*?)(?:^|\n)-{3,}[ \t]*(?:\r?\n|$)"
@@ -41,9 +42,10 @@ def flat_metadata(yaml_text: Column | str) -> Column:
             F.regexp_replace(F.regexp_extract(line, line_re, 2), r"""^(?:"(.*)"|'(.*)')$""", "$1$2").alias("v"),
         ),
     )
-    last = F.filter(
-        pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"])
-    )
+    last = let(pairs, lambda all_pairs: F.filter(
+        all_pairs,
+        lambda p, i: ~F.exists(F.slice(all_pairs, i + 2, F.size(all_pairs)), lambda q: q["k"] == p["k"]),
+    ))
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 
