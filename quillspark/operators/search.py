@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import TERM_RE, is_blank, strip, terms
-from ..session import broadcast_if_small, settle
+from ..session import broadcast_if_small, fits_broadcast, settle
 from .index import Index
 
 K1 = 1.2
@@ -148,23 +148,27 @@ def _with_k(queries: DataFrame, k: int | None, factor: int = 1) -> DataFrame:
 # --- keyword ---------------------------------------------------------------------
 
 
-def query_weights(queries: DataFrame, index: Index, term_re: str = TERM_RE) -> DataFrame:
-    """``query_id, term, code, weight``: idf × number of times the query repeats the term.
+def query_terms(queries: DataFrame, term_re: str = TERM_RE) -> DataFrame:
+    """``query_id, term, qtf, code``: how often each query repeats each of its terms."""
+    return (
+        queries.select("query_id", F.explode(terms("query", term_re)).alias("term"))
+        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        .withColumn("code", F.xxhash64("term"))
+    )
+
+
+def query_weights(wanted: DataFrame, index: Index) -> DataFrame:
+    """``query_id, term, code, weight`` with weight = idf × repeats, for query terms in the index.
 
     ``code`` is the 64-bit hash that scoring compares. Every stored term with the
     code of a query term is returned as ``stored_term``, so that two terms with
     one code can be noticed.
     """
-    wanted = (
-        queries.select("query_id", F.explode(terms("query", term_re)).alias("term"))
-        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-        .withColumn("code", F.xxhash64("term"))
-    )
     stored = index.term_stats.select(F.col("term").alias("stored_term"), "df", F.xxhash64("term").alias("code"))
     stats = index.corpus_stats.select("n_chunks").withColumn("_one", F.lit(1))
     idf = F.log(F.lit(1.0) + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (
-        broadcast_if_small(wanted).join(stored, "code")
+        wanted.join(stored, "code")
         .withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
         .select("query_id", "term", "stored_term", "code", (idf * F.col("qtf")).alias("weight"))
     )
@@ -181,16 +185,18 @@ def keyword_topk(queries: DataFrame, index: Index, k: int | None = None,
                  factor: int = 1, term_re: str = TERM_RE, force_shuffle: bool = False) -> DataFrame:
     """BM25 top-k of ``queries(query_id, query[, top_k])``: query_id, chunk_id, rank, score."""
     wanted = _with_k(queries, k, factor)
-    weights = query_weights(wanted, index, term_re)
+    asked = query_terms(wanted, term_re)
     rows = allowed_sources(index.chunk_terms, allowed, default_source)
     avg_dl = index.corpus_stats.first()["avg_dl"] or 1.0
     limits = wanted.select("query_id", "_k")
-    if not force_shuffle:
-        table = weights.join(limits, "query_id").limit(MAX_SHARED_WEIGHTS + 1).toPandas()
-        # Two different terms under one code (or too many weights) need the exact join.
-        if len(table) <= MAX_SHARED_WEIGHTS and (table["term"] == table["stored_term"]).all():
+    if not force_shuffle and fits_broadcast(asked, max_rows=MAX_SHARED_WEIGHTS):
+        asked = F.broadcast(asked)
+        table = query_weights(asked, index).join(limits, "query_id").toPandas()
+        # Two different terms under one code need the join by term.
+        if (table["term"] == table["stored_term"]).all():
             return _keyword_by_scan(rows, table, limits, avg_dl)
-    return _keyword_by_join(rows, weights.where("term = stored_term"), limits, avg_dl)
+    weights = query_weights(asked, index).where("term = stored_term")
+    return _keyword_by_join(rows, weights, limits, avg_dl)
 
 
 def _keyword_by_scan(rows: DataFrame, table: pd.DataFrame, limits: DataFrame, avg_dl: float) -> DataFrame:
@@ -290,12 +296,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int | None = None,
     rows = allowed_sources(vectors, allowed, default_source).select("chunk_id", "embedding")
     schema, query_type = _result_types(wanted)
 
-    tables = [wanted.limit(MAX_SHARED_VECTORS + 1).toPandas()]
-    if len(tables[0]) > MAX_SHARED_VECTORS:
-        blocks = -(-wanted.count() * 2 // MAX_SHARED_VECTORS)
-        tables = (
-            wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas() for n in range(blocks)
-        )
+    # Half-full blocks on average, so that uneven hashing stays within the limit.
+    size = queries.count()
+    blocks = 1 if size <= MAX_SHARED_VECTORS else -(-size * 2 // MAX_SHARED_VECTORS)
+    tables = (
+        wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas() for n in range(blocks)
+    )
     found = None
     for table in tables:
         if not len(table):

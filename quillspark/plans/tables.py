@@ -2,7 +2,9 @@
 
 The given tables lack headings, markers, owners, feedback and fetch metadata.
 They are derived by the same deterministic expressions on both sides, for every
-row; nothing is filtered away.
+row; nothing is filtered away. Where a merge needs an earlier state, the stored
+side is a derived part of the rows, so that each outcome occurs; the incoming
+side is always the whole table.
 """
 
 from __future__ import annotations

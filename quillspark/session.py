@@ -15,7 +15,7 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 # A union may claim that its inputs share one partitioning although adaptive
 # execution has coalesced them differently; a grouping after it then sees parts
 # of a key in two places. With this off, the grouping shuffles as it should.
-SAFE_CONF = {"spark.sql.unionOutputPartitioning": "false"}
+SAFE_CONF = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.session.timeZone": "UTC"}
 
 _FALLBACK_DIRS: dict[str, str] = {}
 
@@ -26,7 +26,6 @@ def build_session(app_name: str = "quillspark", master: str | None = None, **con
     if master:
         builder = builder.master(master)
     defaults = {
-        "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -75,12 +74,8 @@ def _row_bytes(df: DataFrame):
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                    max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """Measure ``df`` (one small aggregate job) against the broadcast limits.
-
-    The measurement never reads past ``max_rows + 1`` rows.
-    """
-    head = df.limit(max_rows + 1)
-    row = head.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(head)).alias("b")).first()
+    """Measure ``df`` against the broadcast limits with one aggregate job."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
