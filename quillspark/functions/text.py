@@ -148,6 +148,17 @@ def contains_folded(fields: list[Column | str], query: Column | str) -> Column:
     return F.contains(F.lower(joined), F.lower(strip(query)))
 
 
+def strict_json(c: Column | str) -> Column:
+    """The text as a variant when all of it is one JSON value, else null.
+
+    The parser stops after the first value and ignores what follows, so the text
+    is read as the first of exactly two array entries.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit(",0]")))
+    entries = F.try_variant_get(pair, "$", "array<variant>")
+    return F.when(F.size(entries) == 2, F.get(entries, F.lit(0)))
+
+
 # --- bytes to text ------------------------------------------------------------
 
 # Content types that decide the format before any sniffing.

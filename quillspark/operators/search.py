@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import TERM_RE, is_blank, strip, terms
+from ..functions.text import TERM_RE, is_blank, strict_json, strip, terms
 from ..session import broadcast_if_small, fits_broadcast, settle
 from .index import Index
 
@@ -53,7 +53,7 @@ def parse_query_args(args: DataFrame, raw_col: str = "arguments") -> DataFrame:
     else the default, and held between 1 and 30.
     """
     raw = F.coalesce(strip(raw_col), F.lit(""))
-    parsed = F.try_parse_json(F.when(raw == "", F.lit("{}")).otherwise(raw))
+    parsed = strict_json(F.when(raw == "", F.lit("{}")).otherwise(raw))
     is_object = parsed.isNotNull() & ((raw == "") | raw.startswith("{"))
     top_k = F.coalesce(F.try_variant_get(parsed, "$.top_k", "int"), F.lit(DEFAULT_TOP_K))
     query = F.coalesce(strip(F.try_variant_get(parsed, "$.query", "string")), F.lit(""))

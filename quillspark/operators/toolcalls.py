@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rstrip
+from ..functions.text import rstrip, strict_json
 
 MAX_CALLS_PER_TURN = 6
 
@@ -75,7 +75,7 @@ def frame_payload(frame: Column | str) -> Column:
     """
     raw = F.col(frame) if isinstance(frame, str) else frame
     payload = F.rtrim(F.substring(raw, 7, 2_147_483_647), F.lit("\n"))
-    parsed = F.try_parse_json(payload)
+    parsed = strict_json(payload)
     text = F.when(parsed.isNull(), payload).when(
         F.schema_of_variant(parsed) == "STRING", F.try_variant_get(parsed, "$", "string")
     )
@@ -123,7 +123,7 @@ def parse_event(raw: Column | str) -> Column:
         .when(data == "[DONE]", "done").when(data.startswith('{"error"'), "error")
         .when(data != "", "token").otherwise("empty")
     )
-    parsed = F.try_parse_json(data)
+    parsed = strict_json(data)
     is_string = F.schema_of_variant(parsed) == "STRING"
     token = F.when(parsed.isNotNull() & is_string, F.try_variant_get(parsed, "$", "string")).otherwise(data)
     error = F.coalesce(F.nullif(F.try_variant_get(parsed, "$.error", "string"), F.lit("")), F.lit("Stream error from server"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context, search
+from ..operators import answers, context, search
 from ..operators.embedding import DIM, embed
 from ..operators.index import Index, build_index, chunk_term_rows, corpus_statistics, term_frequencies
 from ..session import new_work_dir
@@ -74,13 +74,13 @@ fused AS (
 rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused)"""
 
 
-def capped_sql(ranked: str) -> str:
+def capped_sql(ranked: str, depth: str = "10") -> str:
     """CTEs from a ranked list to capped hits with their payload."""
     return f"""
 hits AS (
   SELECT r.query_id, r.rank, r.score, c.*,
          row_number() OVER (PARTITION BY r.query_id, c.document_id ORDER BY r.rank) AS nth
-  FROM {ranked} r JOIN chunks c USING (chunk_id) WHERE r.rank <= 10
+  FROM {ranked} r JOIN chunks c USING (chunk_id) WHERE r.rank <= {depth}
 ),
 capped AS (SELECT * FROM hits WHERE nth <= 3)"""
 
@@ -323,3 +323,53 @@ def query_args(spark, sf_dir):
     )
     events = T.load(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props")
     return search.parse_query_args(events.withColumn("arguments", raw)).select("event_id", "query", "top_k", "error")
+
+
+# --- whole search jobs -----------------------------------------------------------------------
+
+ARGS = """
+args AS (
+  SELECT item_id AS query_id, greatest(1, least(30, item_id % 35)) AS k,
+         CASE item_id % 9 WHEN 3 THEN 'invalid JSON arguments' WHEN 5 THEN 'missing required parameter: query' END AS error
+  FROM benchmark
+)"""
+
+DEPTH = "(SELECT CASE WHEN a.error IS NULL THEN a.k * %d ELSE 0 END FROM args a WHERE a.query_id = r.query_id)"
+
+ANSWERS = TEXT[:TEXT.index("SELECT b.item_id")] + """
+SELECT a.query_id, a.error IS NULL AS ok, a.error, CASE WHEN a.error IS NULL THEN coalesce(e.n_results, 0) ELSE 0 END AS n_results,
+       CASE WHEN a.error IS NULL THEN coalesce(e.text, 'No relevant chunks found. Try a different query or strategy.') END AS text
+FROM args a LEFT JOIN entries e USING (query_id)"""
+
+FUSED_OWN_DEPTH = f"""
+fused AS (
+  SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (
+    SELECT query_id, chunk_id, rank FROM bm25 r WHERE rank <= {DEPTH % 2} UNION ALL
+    SELECT query_id, chunk_id, rank FROM dense r WHERE rank <= {DEPTH % 2}) GROUP BY query_id, chunk_id
+),
+rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused)"""
+
+
+def _arguments(spark, sf_dir):
+    """Every benchmark text as a tool call: own depths, some broken and some without a query."""
+    n = F.col("item_id")
+    good = F.to_json(F.struct(F.col("text").alias("query"), (n % 35).alias("top_k")))
+    return T.load(spark, sf_dir, "benchmark").select(
+        n.alias("query_id"),
+        F.when(n % 9 == 3, F.concat(good, F.lit("]"))).when(n % 9 == 5, F.lit('{"top_k": 3}')).otherwise(good).alias("arguments"),
+    )
+
+
+@query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, ARGS, capped_sql("bm25", DEPTH % 1), SPANS, ANSWERS))
+def keyword_answers(spark, sf_dir):
+    return answers.keyword_search(_arguments(spark, sf_dir), corpus_index(spark, sf_dir), default_source=None).answers
+
+
+@query(T.with_ctes(T.DOCS, T.CHUNKS, VECTORS, ARGS, capped_sql("dense", DEPTH % 1), SPANS, ANSWERS))
+def semantic_answers(spark, sf_dir):
+    return answers.semantic_search(_arguments(spark, sf_dir), corpus_index(spark, sf_dir), default_source=None).answers
+
+
+@query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, VECTORS, ARGS, FUSED_OWN_DEPTH, capped_sql("rrf", DEPTH % 1), SPANS, ANSWERS))
+def hybrid_answers(spark, sf_dir):
+    return answers.hybrid_search(_arguments(spark, sf_dir), corpus_index(spark, sf_dir), default_source=None).answers

@@ -193,7 +193,7 @@ def test_tool_calls(spark):
 
 @pytest.mark.parametrize("frame,text", [
     ('data: "he\\nllo"\n\n', "he\nllo"), ("data: raw text\n\n", "raw text"), ("data: [DONE]\n\n", None), ('data: {"error": "x"}\n\n', None),
-    ("event: status\ndata: {}\n\n", None), (": keepalive\n\n", None), ("data: 12\n\n", None), ("data: \n\n", None), ('data: {"a": 1}\n\n', None),
+    ("event: status\ndata: {}\n\n", None), (": keepalive\n\n", None), ("data: 12\n\n", None), ("data: null\n\n", None), ('data: "a" b\n\n', '"a" b'), ("data: \n\n", None), ('data: {"a": 1}\n\n', None),
 ])
 def test_frame_payload(one, frame, text):
     assert one(toolcalls.frame_payload(F.lit(frame)))[0] == text

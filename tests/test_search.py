@@ -133,7 +133,8 @@ def test_citation_defaults(spark):
     ('{"query": "q", "top_k": "7"}', "q", 7, None), ('{"query": "q", "top_k": "seven"}', "q", 10, None),
     ('{"query": "q", "top_k": 7.9}', "q", 7, None), ("  ", None, 10, "missing required parameter: query"),
     (None, None, 10, "missing required parameter: query"), ("{bad", None, None, "invalid JSON arguments"),
-    ("[1]", None, None, "invalid JSON arguments"), ('"s"', None, None, "invalid JSON arguments"),
+    ("[1]", None, None, "invalid JSON arguments"), ('{"query": "q"}]', None, None, "invalid JSON arguments"),
+    ('{"query": "q"}, {"query": "r"}', None, None, "invalid JSON arguments"), ('"s"', None, None, "invalid JSON arguments"),
 ])
 def test_query_args(spark, raw, query, k, error):
     row = search.parse_query_args(spark.createDataFrame([(raw,)], "arguments string")).first()
