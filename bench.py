@@ -12,7 +12,7 @@ import time
 HEADLINE = (
     "line_chunks", "sections", "token_chunks", "chunk_offsets", "page_markdown", "bm25_stats", "embedded_chunks",
     "keyword_topk", "keyword_topk_allowed", "semantic_topk", "vector_topk_by_label", "hybrid_rrf_topk",
-    "search_text", "hybrid_search_text", "rendered_documents", "documents_with_counts", "ingest_outcomes",
+    "search_text", "hybrid_search_text", "hybrid_answers", "rendered_documents", "documents_with_counts", "ingest_outcomes",
     "snapshot_after_sync", "markdown_vault", "migrated_chunks", "conversation_list", "question_answer_pairs",
     "conversation_markdown", "answer_sources", "feedback_reports", "answer_text", "assembled_tool_calls",
 )

@@ -284,7 +284,7 @@ docs_ AS (SELECT message_id, document_id, min(pos) AS pos, bool_or(is_cited) AS
                  coalesce(min(chunk_index) FILTER (is_cited), min(chunk_index)) AS chunk_index FROM flagged GROUP BY message_id, document_id),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY message_id, is_cited ORDER BY pos) AS n FROM docs_),
 kept AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY NOT is_cited, pos) AS position FROM numbered WHERE is_cited OR n <= 3)
-SELECT message_id, position, document_id, document_id || '-' || chunk_index AS chunk_id, is_cited FROM kept""")
+SELECT message_id, position, document_id, document_id || '-' || chunk_index AS chunk_id, is_cited FROM kept""", ints=("position",))
 def collapsed_citations(spark, sf_dir):
     flagged = cit.flag_cited(cit.first_seen(T.retrieved(spark, sf_dir)), T.answers(spark, sf_dir))
     return cit.select_sources(cit.collapse_by_document(flagged), 3).select(
@@ -376,7 +376,7 @@ def assembled_tool_calls(spark, sf_dir):
 
 @query(T.with_ctes(T.CONVS, T.ANSWERS, FRAGMENTS) + """
 SELECT turn_id, round, idx, CASE WHEN n <= 6 THEN n END AS call_no, n > 6 AS capped
-FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY round, idx) AS n FROM calls)""")
+FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY round, idx) AS n FROM calls)""", ints=("call_no",))
 def tool_budget(spark, sf_dir):
     calls = _fragments(spark, sf_dir).select("turn_id", "round", "idx").distinct()
     return tc.cap_tool_calls(calls)

@@ -29,7 +29,7 @@ def line_chunks(spark, sf_dir):
 
 
 @query(T.with_ctes(T.DOCS, T.MARKED) + """
-SELECT document_id, level, text, CAST(char_offset AS INTEGER) AS char_offset, anchor FROM md_sections""")
+SELECT document_id, level, text, CAST(char_offset AS INTEGER) AS char_offset, anchor FROM md_sections""", ints=("level",))
 def sections(spark, sf_dir):
     docs = T.markdown_documents(spark, sf_dir)
     return docs.select("document_id", F.explode(parse_sections("body")).alias("s")).select("document_id", "s.*")
@@ -37,7 +37,7 @@ def sections(spark, sf_dir):
 
 @query(T.with_ctes(T.DOCS, T.MARKED) + """
 SELECT document_id, anchor, count(*) AS n_sections, min(level) AS top_level
-FROM md_sections GROUP BY document_id, anchor""")
+FROM md_sections GROUP BY document_id, anchor""", ints=("top_level",))
 def section_anchors(spark, sf_dir):
     docs = T.markdown_documents(spark, sf_dir)
     secs = docs.select("document_id", F.explode(parse_sections("body")).alias("s")).select("document_id", "s.*")
@@ -71,7 +71,7 @@ SELECT s.document_id, CAST(s.char_offset AS INTEGER) AS char_offset, s.level,
        concat_ws(' › ', CASE WHEN s.level > 1 THEN a.text END, CASE WHEN s.level > 2 THEN b.text END, s.text) AS breadcrumb
 FROM seconds s
 LEFT JOIN md_sections a ON a.document_id = s.document_id AND a.char_offset = s.o1
-LEFT JOIN md_sections b ON b.document_id = s.document_id AND b.char_offset = s.o2""")
+LEFT JOIN md_sections b ON b.document_id = s.document_id AND b.char_offset = s.o2""", ints=("level",))
 def chunk_breadcrumbs(spark, sf_dir):
     docs = T.markdown_documents(spark, sf_dir).select("document_id", parse_sections("body").alias("secs"))
     zipped = docs.select(

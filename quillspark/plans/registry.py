@@ -10,8 +10,14 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register the decorated function under its own name, with its SQL when there is one."""
+def query(sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Register the decorated function under its own name, with its SQL when there is one.
+
+    ``ints`` names result columns that are 32-bit in Spark and 64-bit in the SQL.
+    """
+    if sql is not None and ints:
+        casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints)
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
 
     def add(fn):
         if fn.__name__ in QUERIES:

@@ -148,14 +148,14 @@ def embedded_chunks(spark, sf_dir):
 
 
 @query(T.with_ctes(T.DOCS, T.CHUNKS, BM25) + """
-SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10""")
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10""", ints=("rank",))
 def keyword_topk(spark, sf_dir):
     hits = search.keyword_topk(search_queries(spark, sf_dir, False), corpus_index(spark, sf_dir), 10, default_source=None)
     return hits.withColumn("score", F.round("score", 6))
 
 
 @query(T.with_ctes(T.DOCS, T.CHUNKS, BM25) + """
-SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10""")
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10""", ints=("rank",))
 def keyword_topk_shuffled(spark, sf_dir):
     """The way taken when the query batch is too large to broadcast; same rows."""
     hits = search.keyword_topk(
@@ -167,7 +167,7 @@ def keyword_topk_shuffled(spark, sf_dir):
 @query(T.with_ctes(T.DOCS, T.CHUNKS, BM25) + """
 , allowed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS nth
               FROM bm25_all WHERE source_type IN ('src1', 'src4'))
-SELECT query_id, chunk_id, nth AS rank, round(score, 6) AS score FROM allowed WHERE nth <= 10""")
+SELECT query_id, chunk_id, nth AS rank, round(score, 6) AS score FROM allowed WHERE nth <= 10""", ints=("rank",))
 def keyword_topk_allowed(spark, sf_dir):
     hits = search.keyword_topk(
         search_queries(spark, sf_dir, False), corpus_index(spark, sf_dir), 10, allowed=["src1", "src4"]
@@ -176,7 +176,7 @@ def keyword_topk_allowed(spark, sf_dir):
 
 
 @query(T.with_ctes(T.DOCS, T.CHUNKS, VECTORS) + """
-SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM dense WHERE rank <= 10""")
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM dense WHERE rank <= 10""", ints=("rank",))
 def semantic_topk(spark, sf_dir):
     hits = search.vector_topk(search_queries(spark, sf_dir), corpus_index(spark, sf_dir).vectors, 10, default_source=None)
     return hits.withColumn("score", F.round("score", 6))
@@ -189,7 +189,7 @@ q AS (SELECT label AS query_id, list(CAST(m AS DOUBLE) ORDER BY i) AS v FROM cen
 scored AS (SELECT q.query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id,
                   round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 9) AS score FROM q CROSS JOIN embeddings e),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
-SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10""", ints=("rank",))
 def vector_topk_by_label(spark, sf_dir):
     """The stored vectors nearest to each label's mean vector."""
     vectors = T.load(spark, sf_dir, "embeddings")
@@ -204,7 +204,7 @@ def vector_topk_by_label(spark, sf_dir):
 
 
 @query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, VECTORS, RRF) + """
-SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM rrf WHERE rank <= 10""")
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM rrf WHERE rank <= 10""", ints=("rank",))
 def hybrid_rrf_topk(spark, sf_dir):
     hits = search.hybrid_topk(search_queries(spark, sf_dir), corpus_index(spark, sf_dir), 10, default_source=None)
     return hits.withColumn("score", F.round("score", 6))
@@ -229,7 +229,7 @@ def _spans(spark, sf_dir):
 
 @query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, capped_sql("bm25")) + """
 SELECT query_id, rank, chunk_id, document_id, document_title, document_url, source_type, content,
-       section_path AS breadcrumb, anchor, chunk_index, length(content) AS char_end, round(score, 6) AS score FROM hits""")
+       section_path AS breadcrumb, anchor, chunk_index, length(content) AS char_end, round(score, 6) AS score FROM hits""", ints=("rank",))
 def hit_shape(spark, sf_dir):
     return _hits(spark, sf_dir).select(
         "query_id", "rank", "chunk_id", "document_id", "document_title", "document_url", "source_type", "content",
@@ -238,14 +238,14 @@ def hit_shape(spark, sf_dir):
     )
 
 
-@query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, capped_sql("bm25")) + "SELECT query_id, rank, chunk_id, document_id FROM capped")
+@query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, capped_sql("bm25")) + "SELECT query_id, rank, chunk_id, document_id FROM capped", ints=("rank",))
 def capped_hits(spark, sf_dir):
     return _capped(spark, sf_dir).select("query_id", "rank", "chunk_id", "document_id")
 
 
 @query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, capped_sql("bm25")) + """
 SELECT query_id, rank, chunk_id, content, document_id, document_title, document_url, CAST(NULL AS VARCHAR) AS document_content_path,
-       source_type, section_path AS breadcrumb, anchor, chunk_index FROM capped""")
+       source_type, section_path AS breadcrumb, anchor, chunk_index FROM capped""", ints=("rank",))
 def citation_shape(spark, sf_dir):
     rows = search.citation_rows(_capped(spark, sf_dir))
     return rows.withColumn("breadcrumb", F.array_join("section_path", " › ")).drop("section_path")
@@ -260,7 +260,7 @@ def neighbours(spark, sf_dir):
 
 
 @query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, capped_sql("bm25"), SPANS) + """
-SELECT query_id, position, document_id, document_rank, document_title, chunk_index, source_type, content, n_chunks FROM placed""")
+SELECT query_id, position, document_id, document_rank, document_title, chunk_index, source_type, content, n_chunks FROM placed""", ints=("position", "document_rank"))
 def expanded_spans(spark, sf_dir):
     return _spans(spark, sf_dir).select(
         "query_id", "position", "document_id", "document_rank", "document_title", "chunk_index", "source_type", "content", "n_chunks"
