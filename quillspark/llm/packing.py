@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .common import slices, texts
-from .tokens import WordEncoder, tokenizer_path
+from .tokens import tokenizer_path, word_encoder
 
 CAPACITY = 2048
 PIECES_PER_PARTITION = 50_000
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity:
     path = path or tokenizer_path()
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         for part in slices(batches):
             ids, bounds = encoder.encode(part.column("text"))
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4")

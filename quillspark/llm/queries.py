@@ -7,8 +7,8 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from ..session import apply_safe_conf
-from . import byte_bpe, packing, token_output
-from .common import table
+from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, simhash, token_output
+from .common import learnable, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,21 +29,61 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_licenses(spark, sf_dir):
+    """License phrases and notices in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_token_shards(spark, sf_dir):
     """Ids of all documents in binary shards, read back by key."""
     return token_output.read_shards(token_output.write_shards(table(spark, sf_dir, "documents"), end_id=1))
 
 
+@query()
+def op4_quality(spark, sf_dir):
+    """Quality score of all documents by a factorisation machine."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op5_simhash(spark, sf_dir):
+    """SimHash fingerprint and near-duplicate component of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_byte_bpe(spark, sf_dir):
     """Byte-level BPE of all documents, decoded again."""
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+@query()
+def op8_language(spark, sf_dir):
+    """Language of all documents by a bidirectional byte GRU."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op7_best_fit(spark, sf_dir):
     """All documents' pieces in sequences of at most 2048 tokens."""
     placed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), end_id=0))
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
                          "sequence_id", F.col("offset").cast("long").alias("offset"), "certified")
+
+
+@query()
+def op9_imatch(spark, sf_dir):
+    """I-Match fingerprints of all documents, of their edited texts and their next documents'."""
+    return imatch.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_neighbours(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth one."""
+    return ann.search(table(spark, sf_dir, "embeddings"))

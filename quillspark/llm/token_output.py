@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_work_dir, settle
 from .common import slices, texts
-from .tokens import WordEncoder, tokenizer_path
+from .tokens import tokenizer_path, word_encoder
 
 ROWS_PER_SHARD = 16_384
 
@@ -167,7 +167,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 1, fold
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard = WordEncoder(path), TaskContext.get().partitionId()
+        encoder, shard = word_encoder(path), TaskContext.get().partitionId()
         kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         base, keys, lengths, nulls = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}", [], [], 0
         fs, at = pa.fs.FileSystem.from_uri(base)

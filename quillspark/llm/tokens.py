@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +85,9 @@ class WordEncoder:
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(self.starts[slot] - (ends - counts), counts) + np.arange(total)
         return self.flat[at], bounds
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder: tasks that follow each other in a worker share its known words."""
+    return WordEncoder(path)
