@@ -1,9 +1,12 @@
 """I-Match document fingerprints, with DataFrame operations only.
 
-A lexicon holds the terms whose inverse document frequency lies in a band. A document's
-distinct lexicon terms, sorted, are hashed once as a whole and once per randomised subset of the
+A lexicon holds the terms whose inverse document frequency lies in a band. The distinct
+lexicon terms of a document are hashed once as a whole and once per randomised subset of the
 lexicon; an edit spares the subsets that none of its terms is in. Subsets come in several
 sizes, so that short and long documents both have subsets with a few of their terms.
+
+A set of terms is hashed as the XOR of its terms' 64-bit hashes. That has the same value in any order
+of the terms, so the sorted list need not be gathered again after the terms have met the lexicon.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import texts
 
 # The band: terms of at least LOW and at most HIGH of all documents, and of two at least.
@@ -19,10 +23,10 @@ LOW, HIGH = 0.002, 0.2
 SIZES, PER_SIZE = (1, 2, 4, 6, 8), 8
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 # As terms of LOW of all documents are at most (mean distinct terms / LOW), the lexicon does not grow
-# with the corpus. Where documents are so long that it still has more terms, it is joined instead.
-LITERAL_TERMS = 500_000
-SHELVES = 8192
+# with the corpus. Where documents are so long that it still has more terms, no broadcast is asked for.
+BROADCAST_TERMS = 500_000
 BLOCKS = 512
+_MARK = 0  # a code that each text has, so that a text without lexicon terms keeps its row
 
 
 def term_codes(text: Column) -> Column:
@@ -32,41 +36,46 @@ def term_codes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """code: the terms within the band, counted over all documents."""
+    """code, h, r<size>: the terms within the band, counted over all documents, with their random numbers."""
     counts = docs.select(F.explode(term_codes(F.col("text"))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df"))
     n = docs.select("doc_id").count()
-    return counts.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("code")
+    band = counts.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n)) & (F.col("code") != _MARK)).select("code")
+    band = band.unionByName(docs.sparkSession.createDataFrame([(_MARK,)], "code long"))
+    drawn = band.select("code", F.xxhash64("code", F.lit(99)).alias("h"), *[F.xxhash64("code", F.lit(s)).alias(f"r{s}") for s in SIZES])
+    return settle(drawn, "lexicon")
 
 
-def _shelves(lex: DataFrame) -> DataFrame:
-    """One row, one array: the lexicon's codes on ``SHELVES`` shelves by remainder."""
-    shelf = lex.groupBy(F.pmod("code", F.lit(SHELVES)).alias("shelf")).agg(F.collect_list("code").alias("codes"))
-    return shelf.agg(F.map_from_entries(F.collect_list(F.struct("shelf", "codes"))).alias("by")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(SHELVES - 1)), lambda i: F.coalesce(
-            F.element_at("by", i.cast("long")), F.array().cast("array<long>"))).alias("lex"))
+def _subset_hashes() -> list[Column]:
+    """XOR of the hashes of all terms, and of each subset: terms whose s bits from bit i * s on are all zero."""
+    term = F.col("code") != _MARK
+    out = [F.bit_xor(F.when(term, F.col("h"))).alias("x0")]
+    for s in SIZES:
+        for i in range(PER_SIZE):
+            bits = ((1 << s) - 1) << i * s
+            bits -= (1 << 64) if bits >> 63 else 0
+            inside = term & (F.col(f"r{s}").bitwiseAND(F.lit(bits)) == 0)
+            out.append(F.bit_xor(F.when(inside, F.col("h"))).alias(f"x{len(out)}"))
+    return out
 
 
-def _in_band(codes: Column, shelves: Column) -> Column:
-    """The codes on their shelf of the lexicon; all codes where none is."""
-    kept = F.filter(codes, lambda c: F.array_contains(F.get(shelves, F.pmod(c, F.lit(SHELVES)).cast("int")), c))
-    return F.when(F.size(kept) > 0, kept).otherwise(codes)
+def signatures(rows: DataFrame, keys: list[str], codes: Column, lex: DataFrame) -> DataFrame:
+    """keys, kind, sig array<int>: the hashes of each kind of term codes of each row; 0 for an empty subset.
 
+    ``codes`` is an array of (kind, whole, codes): ``whole`` stands for the terms of a text without lexicon terms.
+    """
+    small = lex.count() <= BROADCAST_TERMS
+    kinds = rows.select(*keys, F.explode(codes).alias("x")).select(
+        *keys, "x.kind", "x.whole", F.explode(F.concat(F.array(F.lit(_MARK).cast("long")), F.col("x.codes"))).alias("code"))
+    found = kinds.join(F.broadcast(lex) if small else lex, "code").groupBy(*keys, "kind", "whole").agg(*_subset_hashes())
+    n = 1 + len(SIZES) * PER_SIZE
+    folded = [F.coalesce(F.col(f"x{i}").bitwiseAND(F.lit(0x3FFFFFFF)).cast("int") + 1, F.lit(0)) for i in range(1, n)]
+    first = F.coalesce(F.col("x0"), F.when(F.col("whole") != 0, F.col("whole"))).bitwiseAND(F.lit(0x3FFFFFFF)).cast("int") + 1
+    return found.select(*keys, "kind", F.array(F.coalesce(first, F.lit(0)), *folded).alias("sig"))
 
-def signatures(rows: DataFrame, codes: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: hashes (int, 0 for an empty part) of the sorted codes and of each randomised subset."""
 
-    def signed(part: Column, salt: int) -> Column:
-        return F.when(F.size(part) > 0, F.xxhash64(part, F.lit(salt)).bitwiseAND(F.lit(0x7FFFFFFE)).cast("int") + 1).otherwise(0)
-
-    drawn = {f"__{out}_{s}": F.transform(codes, lambda c, s=s: F.struct(c.alias("c"), F.xxhash64(c, F.lit(s)).alias("r"))) for s in SIZES}
-    subsets = [signed(F.col(codes), 0)]
-    for s in SIZES:
-        for i in range(PER_SIZE):  # subset i: terms whose s bits from bit i * s on are all zero
-            bits = ((1 << s) - 1) << i * s
-            bits -= (1 << 64) if bits >> 63 else 0
-            inside = F.filter(f"__{out}_{s}", lambda x, bits=bits: x["r"].bitwiseAND(F.lit(bits)) == 0)
-            subsets.append(signed(F.transform(inside, lambda x: x["c"]), 100 * s + i))
-    return rows.withColumns(drawn).withColumn(out, F.array(*subsets)).drop(*drawn)
+def _kind(name: int, codes: str) -> Column:
+    whole = F.when(F.size(codes) > 0, F.xxhash64(F.col(codes))).otherwise(F.lit(0).cast("long"))
+    return F.struct(F.lit(name).alias("kind"), whole.alias("whole"), F.col(codes).alias("codes"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -80,33 +89,16 @@ def as_hex(sig: str) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-class Fingerprinter:
-    """Adds fingerprints by one corpus' lexicon to any table of texts."""
-
-    def __init__(self, docs: DataFrame, low: float = LOW, high: float = HIGH, literal_terms: int = LITERAL_TERMS):
-        self.lex = lexicon(texts(docs), low, high).cache()
-        self.small = self.lex.count() <= literal_terms
-        self.shelves = _shelves(self.lex) if self.small else None
-
-    def add(self, rows: DataFrame, text: str, out: str) -> DataFrame:
-        if self.small:
-            banded = rows.withColumn("__all", term_codes(F.col(text))).withColumn("__codes", _in_band(F.col("__all"), self.shelves.scalar()))
-            return signatures(banded, "__codes", out).drop("__all", "__codes")
-        # by text: copies are joined once, and a row's terms meet again under its text's two hashes
-        key = rows.withColumn("__a", F.xxhash64(text)).withColumn("__b", F.hash(text, F.lit(7)))
-        coded = key.select("__a", "__b", F.explode_outer(term_codes(F.col(text))).alias("code"))
-        coded = coded.join(self.lex.withColumn("band", F.lit(True)), "code", "left").groupBy("__a", "__b").agg(
-            F.array_sort(F.collect_set(F.when(F.col("band"), F.col("code")))).alias("kept"), F.array_sort(F.collect_set("code")).alias("every"))
-        coded = coded.select("__a", "__b", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("every")).alias("__codes"))
-        return signatures(key.join(coded, ["__a", "__b"]), "__codes", out).drop("__a", "__b", "__codes")
-
-
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, fingerprint (hex digits, eight per hash) of every row; a null text counts as empty.
+    """doc_id, fingerprint (hex digits, eight per hash) of every document; a null text counts as empty.
 
     Texts without a term in the band are hashed by all their terms; texts without terms have only zeros.
+    Rows that repeat both id and text are one document.
     """
-    return Fingerprinter(docs, low, high).add(texts(docs), "text", "sig").select("doc_id", as_hex("sig").alias("fingerprint"))
+    rows = texts(docs)
+    coded = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), term_codes(F.col("text")).alias("codes"))
+    found = signatures(coded, ["doc_id", "text_hash"], F.array(_kind(0, "codes")), lexicon(rows, low, high))
+    return found.select("doc_id", as_hex("sig").alias("fingerprint"))
 
 
 def with_next(rows: DataFrame, columns: tuple[str, ...], blocks: int = BLOCKS) -> DataFrame:
@@ -114,25 +106,27 @@ def with_next(rows: DataFrame, columns: tuple[str, ...], blocks: int = BLOCKS) -
 
     The rows are cut into ranges of about equal numbers, each ordered on its own; a range also
     gets a copy of the next range's first row. Null ids come first; rows that repeat
-    an id follow each other by text.
+    an id follow each other by text, and of rows with the same id and text one is left. ``block`` names the range.
     """
     rows = rows.withColumn("__k", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     cuts = rows.agg(F.percentile_approx("__k", [i / blocks for i in range(1, blocks)], 20 * blocks).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
     block = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("__k"))) if cuts else F.lit(0)
-    rows = rows.withColumn("__block", block)
+    rows = rows.withColumn("block", block)
     # at most ``blocks`` numbers: each range's smallest key
-    firsts = sorted((r["__block"], r["k"]) for r in rows.groupBy("__block").agg(F.min("__k").alias("k")).collect())
+    firsts = sorted((r["block"], r["k"]) for r in rows.groupBy("block").agg(F.min("__k").alias("k")).collect())
     if not firsts:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("__k", "__block")
+        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("__k")
     target = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
     copies = rows.join(F.broadcast(rows.sparkSession.createDataFrame(target, "__k long, __to int")), "__k")
     one = copies.groupBy("__to").agg(F.min(F.struct("text", *[c for c in rows.columns if c != "text"])).alias("x"))
-    copies = one.select("x.*", "__to").withColumn("__block", F.col("__to")).drop("__to").withColumn("__copy", F.lit(True))
-    order = Window.partitionBy("__block").orderBy("__copy", "__k", "text")
+    copies = one.select("x.*", "__to").withColumn("block", F.col("__to")).drop("__to").withColumn("__copy", F.lit(True))
+    order = Window.partitionBy("block").orderBy("__copy", "__k", "text")
     both = rows.withColumn("__copy", F.lit(False)).unionByName(copies)
-    led = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return led.where("NOT __copy").drop("__k", "__block", "__copy")
+    follows = F.struct(*[F.lead(c).over(order).alias(c) for c in ("__k", "text", "__copy")])
+    led = both.select("*", follows.alias("__next"), *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    again = (F.col("__next.__k") == F.col("__k")) & (F.col("__next.text") == F.col("text")) & ~F.col("__next.__copy")
+    return led.where(~F.col("__copy") & ~F.coalesce(again, F.lit(False))).drop("__k", "__copy", "__next")
 
 
 def compare_edits(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -140,14 +134,23 @@ def compare_edits(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Data
 
     Edited: the last floor(n_chars / 4) code points are replaced by the first as many (or
     all) of the next document. doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next; one row per input row. A single row is its own next one.
+    near_edited, near_next. A single document is its own next one. Rows that repeat both id and
+    text are one document, with one row; null texts count as empty.
     """
-    maker = Fingerprinter(docs, low, high)
-    rows = with_next(maker.add(texts(docs), "text", "sig"), ("text", "sig"))
-    n = F.length("text")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(
-        F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 4).cast("int"))))
-    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("text", "next_text")
-    rows = maker.add(rows, "edited", "edited_sig")
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_hex("sig").alias("fingerprint"), as_hex("edited_sig").alias("edited_fingerprint"),
+    rows = texts(docs)
+    lex = lexicon(rows, low, high)
+    both = with_next(rows.withColumn("text_hash", F.xxhash64("text")), ("doc_id", "text_hash", "text"))
+    n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter)))
+    coded = both.select("block", "doc_id", "text_hash", "next_doc_id", "next_text_hash", n.cast("long").alias("n_chars"),
+                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                        term_codes(F.col("text")).alias("codes"), term_codes(F.col("edited")).alias("edited_codes"))
+    keys = ["block", "doc_id", "text_hash", "next_doc_id", "next_text_hash", "n_chars", "edited_sha256"]
+    sigs = settle(signatures(coded, keys, F.array(_kind(0, "codes"), _kind(1, "edited_codes")), lex), "signatures")
+    own = sigs.where("kind = 0")
+    edited = sigs.where("kind = 1").select("doc_id", "text_hash", F.col("sig").alias("edited_sig"))
+    after = own.select("doc_id", "text_hash", F.col("sig").alias("next_sig"))
+    rows = own.alias("o").join(edited.alias("e"), F.expr("o.doc_id <=> e.doc_id AND o.text_hash = e.text_hash")).join(
+        after.alias("n"), F.expr("o.next_doc_id <=> n.doc_id AND o.next_text_hash = n.text_hash"))
+    return rows.select("o.doc_id", "n_chars", "edited_sha256", as_hex("sig").alias("fingerprint"), as_hex("edited_sig").alias("edited_fingerprint"),
                        likeness("sig", "edited_sig").alias("near_edited"), likeness("sig", "next_sig").alias("near_next"))

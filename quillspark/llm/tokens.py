@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 
 CACHED_WORDS = 300_000
 LONGEST_CACHED = 64
+# words on which the short way must agree with the tokenizer, or it isn't taken
+PROBES = ("a", "the", "tokenizer", "onethtionand", "é", "ñandúes", "straße", "шла", "語", "i", "re", "ll", "x" * 40)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,11 +33,14 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.model, self.bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
         self._forget()
 
     def _forget(self) -> None:
@@ -56,14 +62,28 @@ class WordEncoder:
         self.used, self.slots = self.used + len(ids), first + len(rows)
         return first
 
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a word that the tokenizer leaves in one piece and as it is."""
+        piece = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+        return [token.id for token in self.model.tokenize(piece)]
+
+    def _one_piece(self, word: str) -> bool:
+        return word.isalpha() and (word.islower() if word.isascii() else word == word.lower() and is_normalized("NFC", word))
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Words of lower-case letters go to the model at once, as no other step changes them; all others through every step."""
+        rows = [self._letters(w) if self.direct and self._one_piece(w) else None for w in words]
+        rest = [w for w, ids in zip(words, rows, strict=True) if ids is None]
+        encoded = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [])
+        return [next(encoded).ids if ids is None else ids for ids in rows]
+
     def _slots(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHED_WORDS:
             self._forget()
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            first = self._store([e.ids for e in encoded])
+            first = self._store(self._encode_words(new))
             known.update(zip(new, range(first, first + len(new)), strict=True))
         found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         for w in new:  # long words are not kept: their number of bytes has no bound
@@ -76,6 +96,8 @@ class WordEncoder:
         plain = pc.replace_substring(texts, "\n", " ")
         if self.lowers and not any(pc.any(pc.match_substring(plain, s, ignore_case=True)).as_py() for s in self.specials):
             plain = pc.ascii_lower(plain)  # as the tokenizer will; only its special tokens are looked for before that
+        # marks at a word's end are a piece of their own: "end." and "end" then share a word
+        plain = pc.replace_substring_regex(plain, r"([A-Za-z0-9])([.,&*%$#!|]+)(\s|$)", r"\1 \2\3")
         parts = pc.split_pattern(plain, " ")
         words = parts.flatten().dictionary_encode()
         slot = self._slots(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
