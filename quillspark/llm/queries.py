@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from ..session import apply_safe_conf
-from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, simhash, token_output
+from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, simhash, suffix_dedup, token_output
 from .common import learnable, table
 
 QUERIES: dict = {}
@@ -35,6 +35,13 @@ def op1_licenses(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_repeats(spark, sf_dir):
+    """All documents without the bytes of 100-byte strings that start earlier too."""
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op3_token_shards(spark, sf_dir):
     """Ids of all documents in binary shards, read back by key."""
