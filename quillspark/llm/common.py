@@ -53,6 +53,25 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Array]], size: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which the worker's step gives true.
+
+    The step gets slices with all columns; their ``text`` may be null.
+    """
+
+    def run(batches):
+        step = make()
+        for part in slices(batches, size=size):
+            yield part.filter(step(part))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def filled(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a slice, null ones as empty."""
+    return pa.compute.fill_null(batch.column("text"), "")
+
+
 def learnable(doc_id: str | Column = "doc_id") -> Column:
     """Rows a model may learn from: crc32 of the id as text, modulo 3, is not 1."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, map_slices, texts
+from .common import filled, keep_rows, learnable, map_slices, texts
 
 HIDDEN = 16
 PIECE = 24
@@ -208,6 +208,46 @@ def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, max_words: int =
     return LanguageModel(languages, ByteGRU(len(languages)).fit([w.encode()[:PIECE] for w in rows["word"]], target, weight))
 
 
+class Predictor:
+    """The worker's side of a model: whole texts to languages, each distinct word run once while it is remembered."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.known = model, {}
+        self.sums = np.zeros((0, len(model.languages) + 1), np.float32)
+
+    def _sums(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.sums = {}, self.sums[:0]
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            known.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
+            self.sums = np.concatenate([self.sums, self.model.word_sums(new)])
+        found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for w in new:  # very long words are not kept: their number of bytes has no bound
+            if len(w) > 4 * PIECE:
+                del known[w]
+        return self.sums[found]
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        languages, n = self.model.languages, len(texts)
+        plain = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        parts = pc.split_pattern(plain, " ")
+        words = parts.flatten().dictionary_encode()
+        pooled = np.zeros((n, len(languages) + 1))
+        if languages and len(words):
+            sums = self._sums(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(n), np.diff(parts.offsets.to_numpy()))
+            for c in range(pooled.shape[1]):
+                pooled[:, c] = np.bincount(row, weights=sums[:, c], minlength=n)
+        letters = pc.match_substring_regex(plain, r"\p{L}").to_numpy(zero_copy_only=False) & (pooled[:, -1] > 0)
+        probs = pooled[:, :-1] / np.maximum(pooled[:, -1:], 1)
+        best = probs.argmax(1) if languages else np.zeros(n, int)
+        names = [languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
+        return names, np.where(letters, np.minimum(1, probs.max(1, initial=0)), 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score of every row: the language of the largest pooled probability, and that.
 
@@ -216,41 +256,27 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
 
     def make():
-        known: dict[str, int] = {}
-        store = [np.zeros((0, len(model.languages) + 1), np.float32)]
-
-        def sums_of(words):
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                store[0] = store[0][:0]
-            new = [w for w in words if w not in known]
-            if new:
-                known.update(zip(new, range(len(store[0]), len(store[0]) + len(new)), strict=True))
-                store[0] = np.concatenate([store[0], model.word_sums(new)])
-            found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            for w in new:  # very long words are not kept: their number of bytes has no bound
-                if len(w) > 4 * PIECE:
-                    del known[w]
-            return store[0][found]
+        predictor = Predictor(model)
 
         def step(batch):
-            plain = pc.ascii_lower(pc.replace_substring(batch.column("text"), "\n", " "))
-            parts = pc.split_pattern(plain, " ")
-            words = parts.flatten().dictionary_encode()
-            n = batch.num_rows
-            pooled = np.zeros((n, len(model.languages) + 1))
-            if model.languages and len(words):
-                sums = sums_of(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
-                row = np.repeat(np.arange(n), np.diff(parts.offsets.to_numpy()))
-                for c in range(pooled.shape[1]):
-                    pooled[:, c] = np.bincount(row, weights=sums[:, c], minlength=n)
-            letters = pc.match_substring_regex(plain, r"\p{L}").to_numpy(zero_copy_only=False) & (pooled[:, -1] > 0)
-            probs = pooled[:, :-1] / np.maximum(pooled[:, -1:], 1)
-            best = probs.argmax(1) if model.languages else np.zeros(n, int)
-            names = [model.languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
-            score = [min(1.0, float(probs[i, k])) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, letters, strict=True))]
-            return pa.record_batch([batch.column("doc_id"), pa.array(names), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            names, score = predictor(batch.column("text"))
+            return pa.record_batch([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
         return step
 
     return map_slices(texts(docs), make, "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in a language the model knows: not ``und``, and a score of at least ``least``."""
+
+    def make():
+        predictor = Predictor(model)
+
+        def step(batch):
+            names, score = predictor(filled(batch))
+            return pa.array((np.array(names) != "und") & (score >= least))
+
+        return step
+
+    return keep_rows(docs, make)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, map_slices
+from .common import filled, keep_rows, learnable, map_slices
 
 BUCKETS = 4096
 TRAIN_ROWS = 6000
@@ -199,3 +199,18 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
     return map_slices(_inputs(docs), make, "doc_id long, score double", rows=1024, size=4 << 20)
 
+
+
+def keep(docs: DataFrame, model: FactorisationMachine, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+
+    def make():
+        def step(batch):
+            text = filled(batch)
+            stored = batch.column("n_chars").cast(pa.int64()) if "n_chars" in batch.schema.names else pa.nulls(len(text), pa.int64())
+            stored = pc.coalesce(stored, pc.utf8_length(text).cast(pa.int64()))
+            return pa.array(model.score(Features.of(text, stored)) >= least)
+
+        return step
+
+    return keep_rows(docs, make)

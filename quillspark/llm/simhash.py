@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -24,8 +24,7 @@ RADIUS = 2
 SEED = 42
 SHINGLE = 3
 BUCKET_LIMIT = 64
-_BLANKS = b"\t\n\x0b\x0c\r "
-_LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def fingerprint(text: bytes, seed: int = SEED, width: int = SHINGLE) -> int:
@@ -76,10 +75,6 @@ def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 20) -> list
     return masks
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def _forest(members: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Links that join the members of one small bucket as all their links would, at most one per member."""
     left = np.sort(members)
@@ -150,6 +145,13 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, root: one fingerprint that stands for all that are reachable from it."""
+    distinct = settle(prints.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(links(distinct, radius))
+    return settle(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, itself included.
 
@@ -159,9 +161,29 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Equal fingerprints are joined first, so only distinct ones meet in buckets.
     """
     prints = settle(fingerprints(docs), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp"), radius))
-    rooted = settle(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = _roots(prints, radius)
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(rooted, "fp")
+    ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id (null first), then of the smallest text hash.
+
+    Rows that repeat both id and text are one document, of which one row stays.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__k"), F.hash(F.coalesce("text", F.lit(""))).alias("__th")]
+
+    def make():
+        def step(batch):
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
+            return pa.record_batch([batch.column("__k"), batch.column("__th"), pa.array([fingerprint(t) for t in raw], pa.int64())], ["__k", "__th", "fp"])
+
+        return step
+
+    prints = map_slices(docs.select(*key, F.coalesce("text", F.lit("")).alias("text")), make, "__k long, __th int, fp long")
+    prints = settle(prints.groupBy("fp").agg(F.min(F.struct("__k", "__th")).alias("first")), "fingerprint-heads")
+    heads = prints.join(_roots(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    kept = docs.select("*", *key).join(heads, ["__k", "__th"], "left_semi")
+    return kept.dropDuplicates(["__k", "__th"]).select(*docs.columns)

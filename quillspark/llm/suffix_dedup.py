@@ -281,3 +281,32 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> bytes:
             end -= 1
         fitted.append((start, end))
     return _without(text, fitted)
+
+
+def shorten(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns, their texts without the repeats; ``n_chars`` follows.
+
+    Characters that a repeat covers only in part stay whole. Null texts stay null; a text that is all
+    repeats becomes empty.
+    """
+    found, _ = repeats(docs)
+    per = found.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "n")).alias("__parts"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")), "__th": F.hash(text)})
+    rows = rows.join(per, ["__k", "__th"], "left").drop("__k", "__th")
+    schema, where = docs.schema, docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                raw = part.column("text").cast(pa.large_binary()).to_pylist()
+                new = [t if t is None or not p else whole_characters(t, merged(p, len(t))) for t, p in zip(raw, part.column("__parts").to_pylist(), strict=True)]
+                new = pa.array([None if t is None else t.decode() for t in new], pa.string())
+                part = part.drop_columns(["__parts"]).set_column(where, part.schema.field("text"), new.cast(part.schema.field("text").type))
+                if "n_chars" in part.schema.names:
+                    at = part.schema.get_field_index("n_chars")
+                    part = part.set_column(at, part.schema.field(at), pa.compute.utf8_length(new).cast(part.schema.field(at).type))
+                yield part
+
+    return rows.mapInArrow(run, schema)
