@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import texts
 
 # fixed values: phrases that count as places, and their labels
@@ -38,14 +39,18 @@ NOTICES = (
 K = 3  # words of a k-gram; shorter templates use all their words
 BAND = 4  # diagonals that may continue each other differ by at most so many words
 GAP = 6  # and lie at most so many words apart
-LEAST_SHARE = 0.75  # of a template's k-grams in a verified span
+LEAST_SHARE = 0.6  # of a template's k-grams in a verified span
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Words of the text with A-Z in lower case: runs of a-z, 0-9 and characters beyond ASCII."""
-    return F.filter(F.split(F.translate(text, UPPER, UPPER.lower()), WORD_BREAK), lambda w: w != "")
+    """Words of the text as they are written: runs of letters a-z and A-Z, digits and characters beyond ASCII."""
+    return F.array_remove(F.split(text, WORD_BREAK), "")
+
+
+def _lower(word: Column) -> Column:
+    return F.translate(word, UPPER, UPPER.lower())
 
 
 def template_grams(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
@@ -62,34 +67,28 @@ def template_grams(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame
     return found.withColumn("hash", F.xxhash64("k", "a", "b", "c"))
 
 
-def _grams(w: str) -> Column:
-    """All rolling 2-grams and 3-grams of the word array ``w``, and one row without words that each document has."""
-
-    def at(i, k):
-        return [F.get(F.col(w), i + j) if j < k else F.lit(None).cast("string") for j in range(1, 3)]
-
-    def gram(k):
-        return lambda x, i: F.struct(i.alias("p"), F.xxhash64(F.lit(k), x, *at(i, k)).alias("hash"),
-                                     x.alias("a"), at(i, k)[0].alias("b"), at(i, k)[1].alias("c"))
-
-    document = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("hash"), *[F.lit(None).cast("string").alias(c) for c in "abc"]))
-    return F.concat(document, F.transform(w, gram(2)), F.transform(w, gram(3)))
-
-
 def hits(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_words, template, label, is_base, n_grams, k, p, t: every k-gram of a document in a template.
 
     Each document also has one row with p = -1 and no template.
     """
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    grams = rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode(_grams("w")).alias("g"))
-    grams = grams.select("doc_id", "text_hash", "n_words", "g.*")
-    document = docs.sparkSession.createDataFrame([(None, None, None, None, None, None, None, None, None, 0)], templates.schema)
-    t = F.broadcast(templates.unionByName(document).withColumnsRenamed({c: f"t_{c}" for c in "abc"}))
-    # the words follow the equality of the hash as plain conditions, checked on the rows it finds
-    same = [grams[c].eqNullSafe(t[f"t_{c}"]) for c in "abc"]
+    n = F.size("w")
+    # one row per word with the two after it, and one with the number -1 that each document has
+    zipped = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("a"), F.col("w").alias("b"), F.slice("w", 2, F.greatest(n, F.lit(1))).alias("c"))
+    each = rows.select("doc_id", "text_hash", n.cast("long").alias("n_words"), F.posexplode(zipped).alias("q", "g")).select(
+        "doc_id", "text_hash", "n_words", (F.col("q") - 1).alias("p"), "g.a", "g.b", "g.c")
+    low = [F.lower(c) for c in "abc"]
+    document = F.when(F.col("p") < 0, F.lit(0).cast("long"))
+    two = F.coalesce(document, F.xxhash64(F.lit(2), *low[:2]))
+    three = F.when(F.col("p") >= 0, F.xxhash64(F.lit(3), *low))
+    grams = each.select("*", F.explode(F.array(two, three)).alias("hash"))
+    start = docs.sparkSession.createDataFrame([(None, None, None, None, None, 2, None, None, None, 0)], templates.schema)
+    t = F.broadcast(templates.unionByName(start).withColumnsRenamed({c: f"t_{c}" for c in "abc"}))
+    # the words themselves are compared on the rows that the hash finds
+    same = [_lower(grams[c]).eqNullSafe(t[f"t_{c}"]) | (t["k"] < i) | t["template"].isNull() for i, c in enumerate("abc", 1)]
     found = grams.join(t, (grams["hash"] == t["hash"]) & same[0] & same[1] & same[2])
-    return found.select("doc_id", "text_hash", "n_words", "template", "label", "is_base", "n_grams", "k", "p", "t").distinct()
+    return settle(found.select("doc_id", "text_hash", "n_words", "template", "label", "is_base", "n_grams", "k", "p", "t").distinct(), "license-hits")
 
 
 def spans(hit: DataFrame, band: int = BAND, gap: int = GAP) -> DataFrame:

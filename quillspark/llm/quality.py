@@ -119,6 +119,7 @@ class FactorisationMachine:
     def fit(self, x: Features, labels: np.ndarray, seed: int = 11) -> FactorisationMachine:
         """Adam on the logistic loss. Without rows the score is 0.5; with one class it is near that class."""
         if not len(labels):
+            self.factors[:] = 0
             return self
         self.mean, self.scale = x.stats.mean(0), np.maximum(x.stats.std(0), 1e-3)
         share = np.clip(labels.mean(), 0.01, 0.99)

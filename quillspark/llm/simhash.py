@@ -77,7 +77,7 @@ def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 20) -> list
 
 def _forest(members: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Links that join the members of one small bucket as all their links would, at most one per member."""
-    left = np.sort(members)
+    left = np.sort(members.view(np.uint64))  # bits of a negative number would be counted without its sign
     while len(left):
         group, rest = left[:1], left[1:]
         frontier = group
@@ -85,7 +85,8 @@ def _forest(members: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
             near = (np.bitwise_count(frontier[:, None] ^ rest[None, :]) <= radius).any(0)
             frontier, rest = rest[near], rest[~near]
             group = np.concatenate([group, frontier])
-        yield from ((int(m), int(left[0])) for m in group[1:])
+        group = group.view(np.int64)
+        yield from ((int(m), int(group[0])) for m in group[1:])
         left = rest
 
 
