@@ -24,7 +24,7 @@ TABLES = 2
 DIRECTIONS = 8
 WIDTH = 2.4  # of an interval, in standard deviations of a random unit vector's projection
 PROBES = 600
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 2048
 
 
