@@ -28,6 +28,7 @@ def main() -> None:
     spark = build_session("bench", master=f"local[{cpus}]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": cpus,
+        "spark.quillspark.spreadFiles": "true",  # each table is one file here
     })
     spark.sparkContext.setLogLevel("ERROR")
     queries = plans.all_queries()

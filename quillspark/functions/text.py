@@ -168,8 +168,8 @@ HTML_TYPES = ("text/html", "application/xhtml+xml")
 
 
 def detect_format(content: Column | str, content_type: Column | str) -> Column:
-    """``html``, ``pdf`` or ``markdown`` from the content type, else from the first bytes."""
-    head = F.decode(F.substring(_col(content), 1, 4096), "ISO-8859-1")
+    """``html``, ``pdf`` or ``markdown`` from the content type, else from how the content begins after any white space."""
+    head = F.decode(_col(content), "ISO-8859-1")
     kind = F.lower(strip(F.split_part(_col(content_type), F.lit(";"), F.lit(1))))
     return (
         F.when(kind.isin(*PDF_TYPES), "pdf")

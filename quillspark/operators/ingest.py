@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sections import parse_sections, section_title
@@ -84,11 +84,29 @@ def stage_chunks(rows: DataFrame, needed: Column, max_tokens: int = MAX_TOKENS,
     )
 
 
+def latest_fetches(log: DataFrame) -> DataFrame:
+    """One row per url of a fetch log, so that a url that was tried again is one item.
+
+    The last by ``fetched_at`` where the log has that column and it is set; then one that was read before
+    one that failed, then the smallest content hash. Rows without a url all stay.
+    """
+    read = F.col("fetch_error").isNull() & (F.coalesce("http_status", F.lit(0)) < 400)
+    last = [F.col("fetched_at").desc_nulls_last()] if "fetched_at" in log.columns else []
+    order = Window.partitionBy("url").orderBy(*last, read.desc(), F.sha2("content", 256).asc_nulls_last(), F.col("etag").asc_nulls_last())
+    first = log.where("url IS NOT NULL").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return first.unionByName(log.where("url IS NULL"))
+
+
+def superseded_fetches(log: DataFrame) -> DataFrame:
+    """``url, n_superseded``: urls that a log names more than once, and how many of their rows don't count."""
+    return log.where("url IS NOT NULL").groupBy("url").agg((F.count(F.lit(1)) - 1).alias("n_superseded")).where("n_superseded > 0")
+
+
 def stage_pages(log: DataFrame, documents: DataFrame, source_type: str,
                 max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Classify one fetch run against the stored documents.
 
-    One row per fetched url with ``outcome``, ``error_message``, the document
+    One row per fetched url (``latest_fetches``) with ``outcome``, ``error_message``, the document
     values to store and the chunk arrays. Checked in this order: fetch error,
     not modified, empty or unreadable body, same hash, no chunks, new or changed.
     """
@@ -97,7 +115,7 @@ def stage_pages(log: DataFrame, documents: DataFrame, source_type: str,
         F.col("content_hash").alias("old_hash"),
     )
     # The stored hash decides before the costly text work, so it is joined first.
-    fetched = classify_fetch(log).join(stored, "url", "left")
+    fetched = classify_fetch(latest_fetches(log)).join(stored, "url", "left")
     same = F.col("old_hash").eqNullSafe(F.sha2("content", 256)) & F.col("content").isNotNull()
     hashed = fetched.withColumn("new_hash", F.sha2("content", 256)).withColumn("_same", same)
     pages = extract_pages(hashed)
@@ -270,14 +288,23 @@ def replace_rows(existing: DataFrame, changed_ids: DataFrame, new: DataFrame, ke
     )
 
 
-def reject_duplicate_keys(incoming: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that may be appended, and those whose url or path is already stored."""
+def reject_duplicate_keys(incoming: DataFrame, documents: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be appended, and those whose url or path is taken.
+
+    Taken by a stored document, or by the incoming row that is first with it by ``order`` (default: the
+    first column); a row that is first with one key and not with the other is rejected too.
+    """
+    order = order or incoming.columns[0]
     by_url = documents.where(F.col("url").isNotNull()).select(F.col("url").alias("_uk")).distinct().withColumn("_u", F.lit(True))
     by_path = documents.where(F.col("content_path").isNotNull()).select(F.col("content_path").alias("_pk")).distinct().withColumn("_p", F.lit(True))
     keyed = incoming.withColumns({
         "_uk": _spread_nulls("url", "content_path"), "_pk": _spread_nulls("content_path", "url"),
     })
-    marked = keyed.join(by_url, "_uk", "left").join(by_path, "_pk", "left")
+    ties = [F.col(order), F.sha2(F.to_json(F.struct(*incoming.columns)), 256)]
+    numbered = keyed.withColumn("_nu", F.row_number().over(Window.partitionBy("_uk").orderBy(*ties))).withColumn(
+        "_np", F.row_number().over(Window.partitionBy("_pk").orderBy(*ties)))
+    marked = numbered.join(by_url, "_uk", "left").join(by_path, "_pk", "left").withColumns({
+        "_u": F.when(F.col("_u").isNotNull() | (F.col("_nu") > 1), True), "_p": F.when(F.col("_p").isNotNull() | (F.col("_np") > 1), True)})
     clash = F.col("_u").isNotNull() | F.col("_p").isNotNull()
     return (
         marked.where(~clash).select(*incoming.columns),

@@ -40,6 +40,7 @@ _ROW_BLOCK = 1024
 MAX_SHARED_WEIGHTS = 1_000_000
 MAX_SHARED_VECTORS = 8192
 _SALTS = 64
+_MERGE_PARTS = 32
 
 
 # --- queries ---------------------------------------------------------------------
@@ -140,8 +141,8 @@ def _with_k(queries: DataFrame, k: int | None, factor: int = 1) -> DataFrame:
     limit = F.lit(k if k is not None else DEFAULT_TOP_K)
     if "top_k" in queries.columns:
         limit = F.coalesce(F.col("top_k"), limit)
-    if k is not None and not 1 <= k <= MAX_TOP_K:
-        raise ValueError(f"k must be between 1 and {MAX_TOP_K}")
+    if k is not None and k < 1:
+        raise ValueError("k must be positive")
     return queries.where(~is_blank("query")).withColumn("_k", (limit * factor).cast("int"))
 
 
@@ -268,8 +269,14 @@ def _keyword_by_join(rows: DataFrame, weights: DataFrame, limits: DataFrame, avg
 
 
 def _ranked_with_limits(scored: DataFrame, limits: DataFrame) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_TOP_K * OVERFETCH)
+    # In two steps, so that the lists all tasks have kept of one query do not meet in one task;
+    # the bound of the first is the largest number this batch asks for.
+    deepest = limits.agg(F.max("_k")).first()[0] or 1
+    best = [F.col("score").desc(), F.col("chunk_id")]
+    parts = Window.partitionBy("query_id", "_part").orderBy(*best)
+    few = scored.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(_MERGE_PARTS))).withColumn(
+        "_nth", F.row_number().over(parts)).where(F.col("_nth") <= deepest).drop("_part", "_nth")
+    top = few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= deepest)
     return (
         top.join(limits, "query_id").where(F.col("rank") <= F.col("_k"))
         .select("query_id", "chunk_id", "rank", "score")
@@ -289,6 +296,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int | None = None,
     and is never a hit.
     """
     spark = vectors.sparkSession
+    if k is not None and k < 1:
+        raise ValueError("k must be positive")
     limit = F.lit(k if k is not None else DEFAULT_TOP_K)
     if "top_k" in queries.columns:
         limit = F.coalesce(F.col("top_k"), limit)

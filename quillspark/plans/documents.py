@@ -246,17 +246,18 @@ def _strip(c):
 # --- pages ---------------------------------------------------------------------------
 
 
-@query(T.with_ctes(T.FETCH) + """
+@query(T.with_ctes(T.FETCH).replace("WHEN page_id % 10 IN (3, 7, 9) THEN NULL WHEN page_id % 23 = 11 THEN ''", "WHEN FALSE THEN NULL") + """
 SELECT page_id, CASE WHEN lower(trim(split_part(content_type, ';', 1))) IN ('application/pdf', 'application/x-pdf') THEN 'pdf'
             WHEN lower(trim(split_part(content_type, ';', 1))) IN ('text/markdown', 'text/x-markdown') THEN 'markdown'
             WHEN lower(trim(split_part(content_type, ';', 1))) IN ('text/html', 'application/xhtml+xml') THEN 'html'
             WHEN starts_with(content, '%PDF-') THEN 'pdf'
             WHEN regexp_matches(content, '^\\s*<') THEN 'html' ELSE 'markdown' END AS format
-FROM flog WHERE content IS NOT NULL""")
+FROM flog""")
 def page_format(spark, sf_dir):
-    return T.fetch_log(spark, sf_dir).where("content is not null").select(
-        "page_id", detect_format("content", "content_type").alias("format")
-    )
+    """All pages, with content types that decide and ones that don't."""
+    types = T.fetch_log(spark, sf_dir).select("page_id", "content_type")
+    pages = T.load(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    return pages.join(types, "page_id").select("page_id", detect_format("content", "content_type").alias("format"))
 
 
 @query(T.with_ctes(T.FETCH) + "SELECT page_id, status, error FROM classified")

@@ -203,6 +203,27 @@ def vector_topk_by_label(spark, sf_dir):
     return search.vector_topk(means, stored, 10, default_source=None).withColumn("score", F.round("score", 6))
 
 
+@query("""
+WITH centers AS (SELECT label, i, avg(x) AS m FROM (
+       SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i),
+q AS (SELECT label AS query_id, list(CAST(m AS DOUBLE) ORDER BY i) AS v FROM centers GROUP BY label),
+scored AS (SELECT q.query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id,
+                  round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 9) AS score FROM q CROSS JOIN embeddings e),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 100""", ints=("rank",))
+def vector_topk_deep(spark, sf_dir):
+    """The stored vectors nearest to each label's mean vector."""
+    vectors = T.load(spark, sf_dir, "embeddings")
+    means = (
+        vectors.select("label", F.posexplode("embedding").alias("i", "x"))
+        .groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+        .groupBy(F.col("label").alias("query_id"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("embedding"))
+    )
+    stored = vectors.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    return search.vector_topk(means, stored, 100, default_source=None).withColumn("score", F.round("score", 6))
+
+
 @query(T.with_ctes(T.DOCS, T.CHUNKS, BM25, VECTORS, RRF) + """
 SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM rrf WHERE rank <= 10""", ints=("rank",))
 def hybrid_rrf_topk(spark, sf_dir):

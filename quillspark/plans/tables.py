@@ -15,21 +15,21 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITESPACE
 from ..operators.chunking import line_chunks
 
-_SMALL_PER_CORE = 64 * 1024 * 1024
+# A session on one machine may ask that tables which are a single file are spread over its cores.
+SPREAD_CONF = "spark.quillspark.spreadFiles"
 SITE = "https://docs.example.com/"
 EPOCH = "2024-01-01 00:00:00"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that is a single small file is spread over the cores.
+    """A given table, read as it is, in its own splits, whatever its size.
 
-    Tables of real size already come in as many splits as there is work for and
-    are read as they are.
+    ``SPREAD_CONF`` = true in a session deals every table out to the cores: for runs on one machine
+    over files of a single row group, which cannot be split.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 256 * 1024 < size < cores * _SMALL_PER_CORE else df
+    spread = spark.conf.get(SPREAD_CONF, "false") == "true"
+    return df.repartition(spark.sparkContext.defaultParallelism) if spread else df
 
 
 # --- documents ---------------------------------------------------------------------
@@ -252,7 +252,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
     return load(spark, sf_dir, "pages").select(
         n.alias("page_id"),
-        F.when(n % 17 == 5, F.concat(F.lit("ftp://"), F.substring("url", 8, 10_000))).otherwise(F.col("url")).alias("url"),
+        F.when(n % 17 == 5, F.concat(F.lit("ftp://"), F.substring(F.col("url"), F.lit(8), F.length("url")))).otherwise(F.col("url")).alias("url"),
         F.when(~(n % 10).isin(3, 7, 9), F.when(n % 23 == 11, F.lit("").cast("binary")).otherwise(F.col("html").cast("binary"))).alias("content"),
         F.when(n % 4 == 0, F.lit("text/html; charset=utf-8")).when(n % 4 == 2, F.lit(" TEXT/HTML "))
         .when(n % 4 == 3, F.lit("application/xhtml+xml")).alias("content_type"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SOURCE_TYPE = "docs"
@@ -76,14 +76,22 @@ def index_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Stored rows plus the incoming ones whose key is not stored yet."""
-    return existing.unionByName(incoming.join(existing.select(key), key, "left_anti"))
+def one_per_key(rows: DataFrame, key: str, order: str | None, last: bool) -> DataFrame:
+    """The first or last row of each key by ``order``; without an order, or within ties, by a hash of the row."""
+    by = ([F.col(order)] if order else []) + [F.sha2(F.to_json(F.struct(*rows.columns)), 256)]
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*[c.desc() if last else c.asc() for c in by]))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
-def insert_or_replace(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Incoming rows plus the stored ones they do not replace."""
-    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Stored rows plus the incoming ones whose key is not stored yet, the first of those that share a key."""
+    new = incoming.join(existing.select(key), key, "left_anti")
+    return existing.unionByName(one_per_key(new, key, order, last=False).select(*existing.columns))
+
+
+def insert_or_replace(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Incoming rows, the last of those that share a key, plus the stored ones they do not replace."""
+    return existing.join(incoming.select(key), key, "left_anti").unionByName(one_per_key(incoming, key, order, last=True))
 
 
 def migrate(documents: DataFrame, chunks: DataFrame, legacy_docs: DataFrame, legacy_chunk_rows: DataFrame,
@@ -94,6 +102,7 @@ def migrate(documents: DataFrame, chunks: DataFrame, legacy_docs: DataFrame, leg
     """
     docs, rows = legacy_documents(legacy_docs), legacy_chunks(legacy_chunk_rows)
     plain = rows.drop("embedding")
+    docs, plain = one_per_key(docs, "document_id", None, last=False), one_per_key(plain, "chunk_id", None, last=True)
     new = docs.join(documents.select("document_id"), "document_id", "left_anti")
     counts = (
         new.agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents_inserted").alias("kind"), "n")

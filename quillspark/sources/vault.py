@@ -63,15 +63,22 @@ def nested_metadata(yaml_text: pd.Series) -> pd.Series:
     return yaml_text.map(read)
 
 
-def parse_notes(files: DataFrame, nested: bool = False) -> DataFrame:
-    """``content_path, content`` to ``content_path, content, metadata, body``."""
+def parse_notes(files: DataFrame, nested: bool | None = None) -> DataFrame:
+    """``content_path, content`` to ``content_path, content, metadata, body``.
+
+    Notes whose front matter has nested values go through the full YAML reader (``nested`` None);
+    True sends all notes there, False none.
+    """
     text = files.withColumn("_text", decode_markdown("content"))
     raw = front_matter("_text")
-    meta = nested_metadata(raw) if nested else flat_metadata(raw)
+    # only front matter with indented or bracketed values needs the full YAML reader
+    deep = F.coalesce(raw.rlike(r"(?m)^(?:[ \t]+\S|-[ \t])|:[ \t]*[\[{|>&*]"), F.lit(False))
+    full = nested_metadata(F.when(deep, raw)) if nested is None else nested_metadata(raw)
+    meta = F.when(deep, full).otherwise(flat_metadata(raw)) if nested is None else full if nested else flat_metadata(raw)
     return text.select("content_path", "content", meta.alias("metadata"), body_without_front_matter("_text").alias("body"))
 
 
-def read_vault(spark: SparkSession, root: str, nested: bool = False) -> DataFrame:
+def read_vault(spark: SparkSession, root: str, nested: bool | None = None) -> DataFrame:
     """Every ``*.md`` file below ``root``, keyed by its path relative to it."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
@@ -80,5 +87,5 @@ def read_vault(spark: SparkSession, root: str, nested: bool = False) -> DataFram
     # Paths come back fully qualified, so the root is qualified the same way.
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(top).toString().rstrip("/")
-    rel = F.substring("path", len(base) + 2, 1_000_000)
+    rel = F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))
     return parse_notes(files.select(rel.alias("content_path"), "content"), nested)

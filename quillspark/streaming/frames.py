@@ -20,14 +20,18 @@ def _split_group(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     yield pd.DataFrame({
         "message_id": [key[0]] * len(blocks), "block_no": range(number, number + len(blocks)), "raw": blocks,
     })
-    state.update((rest, number + len(blocks)))
+    if any("[DONE]" in block for block in blocks):  # fixed value: the block that ends a message
+        if state.exists:
+            state.remove()
+    else:
+        state.update((rest, number + len(blocks)))
 
 
 def event_stream(pieces: DataFrame) -> DataFrame:
     """``pieces(message_id, seq, piece)`` cut anywhere, to parsed blocks.
 
     Output: message_id, block_no, event, data, kind, text. The unfinished tail of
-    each message is the only state; blank blocks are dropped.
+    each message is the only state, and goes with the block that ends the message; blank blocks are dropped.
     """
     blocks = pieces.select("message_id", "seq", "piece").groupBy("message_id").applyInPandasWithState(
         _split_group, "message_id string, block_no bigint, raw string", "rest string, number bigint",

@@ -26,12 +26,17 @@ def sync_stream(log_stream: DataFrame, store: CorpusStore, checkpoint: str,
                 now: Callable[[int], str], source_type: str = "docs") -> None:
     """Apply every micro-batch of a fetch-log stream to a store.
 
-    The batch number names the run, and a run is applied once, so a batch that
-    is repeated after a failure changes nothing.
+    The stream's own id, which its checkpoint keeps, and the batch number name the run, and a run is applied
+    once. So a batch that is repeated after a failure changes nothing, and another stream, or
+    one whose checkpoint was reset, has runs of its own.
     """
+    spark = log_stream.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        store.sync_pages(batch, f"stream-{number}", now(number), source_type)
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("the stream's id is not known here")
+        store.sync_pages(batch, f"stream-{stream}-{number}", now(number), source_type)
 
     query = (
         log_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -9,7 +9,7 @@ from quillspark.sources.store import CorpusStore
 from quillspark.sources.url_list import read_url_list
 from quillspark.sources.vault import read_vault
 from quillspark.streaming.frames import event_stream
-from quillspark.streaming.markers import release, strip_stream
+from quillspark.streaming.markers import cut_markers, strip_stream
 from quillspark.streaming.sync import drain, sync_stream
 
 PAGE = b"<html lang='en'><head><title>T</title></head><body><h1>Head</h1><p>Body text of the page.</p></body></html>"
@@ -97,6 +97,32 @@ def test_clear_and_duplicates_and_replace(spark):
     assert sorted(tuple(r) for r in ingest.replace_rows(old, new, new).collect()) == [("a", 9), ("b", 1)]
 
 
+def test_first_of_incoming_duplicates_is_kept(spark):
+    incoming = documents(spark, ("n2", "https://x", None, ""), ("n1", "https://x", None, ""), ("n3", None, "c.md", ""), ("n4", "https://y", "c.md", ""), ("n5", None, None, ""))
+    fine, clash = ingest.reject_duplicate_keys(incoming, documents(spark))
+    assert sorted(r["document_id"] for r in fine.collect()) == ["n1", "n3", "n5"]
+    assert {r["document_id"]: r["reason"] for r in clash.collect()} == {"n2": "duplicate url", "n4": "duplicate content_path"}
+
+
+def test_a_url_that_is_fetched_twice_is_one_item(spark):
+    fetches = log(spark, page("https://a", status=500, error="timeout"), page("https://a"), page("https://b")).withColumn(
+        "fetched_at", F.when(F.col("http_status") == 500, F.lit("2024-01-02")).otherwise(F.lit("2024-01-01")).cast("timestamp"))
+    staged = ingest.stage_pages(fetches, documents(spark), "docs")
+    assert {r["url"]: r["outcome"] for r in staged.collect()} == {"https://a": "error", "https://b": "ingested"}
+    untimed = ingest.stage_pages(fetches.drop("fetched_at"), documents(spark), "docs")
+    assert {r["url"]: r["outcome"] for r in untimed.collect()} == {"https://a": "ingested", "https://b": "ingested"}
+    assert [tuple(r) for r in ingest.superseded_fetches(fetches).collect()] == [("https://a", 1)]
+    chunks = ingest.staged_chunk_rows(untimed)
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 2
+
+
+def test_repeated_incoming_keys(spark):
+    old = spark.createDataFrame([("a", 1)], "key string, n int")
+    new = spark.createDataFrame([("a", 2), ("b", 3), ("b", 4), ("a", 5)], "key string, n int")
+    assert sorted(tuple(r) for r in legacy.insert_or_ignore(old, new, "key", "n").collect()) == [("a", 1), ("b", 3)]
+    assert sorted(tuple(r) for r in legacy.insert_or_replace(old, new, "key", "n").collect()) == [("a", 5), ("b", 4)]
+
+
 def write_vault(root):
     (root / "sub dir").mkdir(parents=True)
     (root / "a.md").write_text('---\ntitle: "Note A"\ndescription: about a\nlang: en\nsource: https://e.com/1\nempty:\n---\n\n# Head\nbody a\n')
@@ -169,16 +195,24 @@ def test_migration(spark):
 
 
 @pytest.mark.parametrize("cut", [1, 2, 3, 5, 100])
-def test_release_equals_stripping_the_whole(cut):
+@pytest.mark.parametrize("tokens", [1, 3, 50])
+def test_cutting_equals_stripping_the_whole(cut, tokens):
     import re
 
     text = "a [c:x-1] b[[c:y] [c: no [c:z_9][d] end [c"
-    out, pending = "", ""
-    for i in range(0, len(text), cut):
-        part, pending = release(pending, text[i:i + cut])
-        out += part
-    assert out + pending == re.sub(r"\[c:[A-Za-z0-9_-]+\]", "", text)
-    assert release("", "[c:" + "x" * 200) == ("[c:" + "x" * 200, "")
+    pieces = [text[i:i + cut] for i in range(0, len(text), cut)]
+    out, held = "", ""
+    for i in range(0, len(pieces), tokens):
+        parts, held = cut_markers(held, pieces[i:i + tokens], final=i + tokens >= len(pieces))
+        assert len(parts) == len(pieces[i:i + tokens])
+        out += "".join(parts)
+    assert out + held == re.sub(r"\[c:[A-Za-z0-9_-]+\]", "", text) and held == ""
+
+
+def test_cut_text_stays_with_its_token():
+    assert cut_markers("x[c:", ["a]y", "", "z[c:b]", "w["], False) == (["xy", "", "z", "w"], "[")
+    assert cut_markers("", ["[c:" + "x" * 200], False) == (["[c:" + "x" * 200], "")
+    assert cut_markers("[c:", ["", "q"], True) == (["[c:", "q"], "")
 
 
 def as_stream(spark, df, label):
@@ -206,6 +240,15 @@ def test_event_stream(spark):
     assert [(r["kind"], r["text"]) for r in out] == [("token", "a"), ("sources", None), ("done", None)]
 
 
+def test_two_streams_into_one_store(spark):
+    store = CorpusStore(spark, new_work_dir(spark, "store"))
+    for url in ("https://a", "https://b"):
+        rows = log(spark, page(url)).withColumn("part", F.lit(0))
+        sync_stream(as_stream(spark, rows, "fetch"), store, new_work_dir(spark, "checkpoint"), lambda n: "2024-01-01 00:00:00")
+    assert {r["url"] for r in store.documents().collect()} == {"https://a", "https://b"}
+    assert len({r["run_id"] for r in store.runs().collect()}) == store.runs().count()
+
+
 def test_sync_stream(spark):
     store = CorpusStore(spark, new_work_dir(spark, "store"))
     parts = [page("https://a"), page("https://b"), page("https://a", PAGE.replace(b"Body", b"New"))]

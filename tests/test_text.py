@@ -17,6 +17,11 @@ def test_slugify(one):
         "hello-world", "cms-input-dom", "", "bung-2")
 
 
+def test_format_of_content_after_much_white_space(one):
+    late = F.lit(" " * 5000 + "<html>").cast("binary")
+    assert one(X.detect_format(late, F.lit(None).cast("string"))) == ("html",)
+
+
 def test_detect_format(one):
     html, pdf, md = lit(b"  <p>x"), lit(b"%PDF-1.4"), lit(b"# title")
     none = lit(None).cast("string")
