@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ from .induced import DEPTH, InducedSorter, RepeatMarks
 LENGTH = DEPTH  # bytes of a repeated string
 ANCHOR = 16  # bytes of the substrings that are hashed
 STRETCH = 128  # windows of a stretch at most
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+SLICE = {"rows": 512, "size": 1 << 20}  # about forty times that is in use while a slice's windows are hashed
 NULL_ID = -(1 << 63)
 _SEPARATOR = b"\xff"  # never in UTF-8
 
@@ -146,23 +148,24 @@ def _packed(rows: DataFrame) -> DataFrame:
 
         return step
 
-    return map_slices(rows, make, "k long, th int, z binary")
+    return map_slices(rows, make, "k long, th int, z binary", **SLICE)
 
 
 def _shard_repeats(batches):
     """Sort one shard's stretches (in order of documents) and give the places of its repeated windows as ranges."""
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:  # scratch of this task alone, gone when it ends
-        path, keys, before = os.path.join(folder, "text"), [], None
+        path, keys, before = os.path.join(folder, "text"), array("q"), None
         with open(path, "wb") as f:
             for batch in batches:
-                for k, th, start, text in zip(*(batch.column(c).to_pylist() for c in ("k", "th", "start", "text")), strict=True):
-                    if (k, th, start) != before:  # else a repeated row
-                        f.write(text + _SEPARATOR)
-                        keys.append((k, th, start, len(text)))
-                        before = (k, th, start)
+                for lo in range(0, batch.num_rows, 1024):
+                    for k, th, start, text in zip(*(batch.slice(lo, 1024).column(c).to_pylist() for c in ("k", "th", "start", "text")), strict=True):
+                        if (k, th, start) != before:  # else a repeated row
+                            f.write(text + _SEPARATOR)
+                            keys.extend((k, th, start, len(text)))
+                            before = (k, th, start)
         if not keys:
             return
-        k, th, start, size = (np.array(x, np.int64) for x in zip(*keys, strict=True))
+        k, th, start, size = np.array(keys, np.int64).reshape(-1, 4).T
         n = int(size.sum()) + len(size)
         offset = np.cumsum(size + 1) - size - 1
 
@@ -189,7 +192,7 @@ def repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
     """(k, th, start, n): byte ranges of repeats, at least ``LENGTH`` bytes each; ranges may overlap. And the packed texts."""
     rows = keyed(docs)
     packed = _packed(rows)
-    found = map_slices(rows, lambda: _stretches, STRETCHES).repartition("v")
+    found = map_slices(rows, lambda: _stretches, STRETCHES, **SLICE).repartition("v")
     same = Window.partitionBy("v", "repeat", "s").orderBy("k", "th", "start")
     anchor = Window.partitionBy("v", "repeat")
     ranked = found.select("*", F.rank().over(same).alias("place"), F.row_number().over(same).alias("row")).select(
@@ -255,8 +258,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 text = [unpack(z) for z in part.column("z").to_pylist()]
                 runs = [merged(p or [], len(t)) for p, t in zip(part.column("parts").to_pylist(), text, strict=True)]
                 kept = [_without(t, r) for t, r in zip(text, runs, strict=True)]
@@ -298,8 +301,8 @@ def shorten(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 raw = part.column("text").cast(pa.large_binary()).to_pylist()
                 new = [t if t is None or not p else whole_characters(t, merged(p, len(t))) for t, p in zip(raw, part.column("__parts").to_pylist(), strict=True)]
                 new = pa.array([None if t is None else t.decode() for t in new], pa.string())
