@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .context import EXPANSION_WINDOW, expand_and_merge, search_text
-from .embedding import DIM, Embedder, embed
+from .embedding import Embedder, embed
 from .index import Index
 from .search import (
     DEFAULT_SOURCE_TYPE, MAX_PER_DOCUMENT, RRF_K, cap_per_document, citation_rows, hit_rows, hybrid_topk, keyword_topk,
@@ -26,12 +26,13 @@ class Answers(NamedTuple):
 
 
 def _search(args: DataFrame, index: Index, rank, embedded: bool, window: int, max_per_document: int,
-            dim: int, embedder: Embedder | None) -> Answers:
+            embedder: Embedder | None) -> Answers:
     parsed = settle(parse_query_args(args.select("query_id", "arguments")).drop("arguments"), "arguments")
     queries = parsed.where(F.col("error").isNull()).select("query_id", "query", "top_k")
     if embedded:
-        # Equal questions are embedded once.
-        vectors = embed(queries.select("query").distinct(), "query", "embedding", dim, embedder)
+        # Equal questions are embedded once, by the model and to the length of the index.
+        index.check_embedder(embedder)
+        vectors = embed(queries.select("query").distinct(), "query", "embedding", index.settings["dim"], embedder)
         queries = settle(queries.join(vectors, "query"), "queries")
     hits = cap_per_document(hit_rows(rank(queries), index.chunks), max_per_document)
     spans = expand_and_merge(citation_rows(hits), index.chunks, window)
@@ -49,26 +50,26 @@ def keyword_search(args: DataFrame, index: Index, allowed: Sequence[str] | None
     """Answer ``args(query_id, arguments)`` by BM25."""
     return _search(
         args, index, lambda q: keyword_topk(q, index, allowed=allowed, default_source=default_source),
-        False, window, max_per_document, DIM, None,
+        False, window, max_per_document, None,
     )
 
 
 def semantic_search(args: DataFrame, index: Index, allowed: Sequence[str] | None = None,
                     default_source: str | None = DEFAULT_SOURCE_TYPE, window: int = EXPANSION_WINDOW,
-                    max_per_document: int = MAX_PER_DOCUMENT, dim: int = DIM, embedder: Embedder | None = None) -> Answers:
+                    max_per_document: int = MAX_PER_DOCUMENT, embedder: Embedder | None = None) -> Answers:
     """Answer ``args(query_id, arguments)`` by cosine similarity."""
     return _search(
         args, index, lambda q: vector_topk(q, index.vectors, allowed=allowed, default_source=default_source),
-        True, window, max_per_document, dim, embedder,
+        True, window, max_per_document, embedder,
     )
 
 
 def hybrid_search(args: DataFrame, index: Index, allowed: Sequence[str] | None = None,
                   default_source: str | None = DEFAULT_SOURCE_TYPE, window: int = EXPANSION_WINDOW,
-                  max_per_document: int = MAX_PER_DOCUMENT, rrf_k: int = RRF_K, dim: int = DIM,
+                  max_per_document: int = MAX_PER_DOCUMENT, rrf_k: int = RRF_K,
                   embedder: Embedder | None = None) -> Answers:
     """Answer ``args(query_id, arguments)`` by both, fused by rank."""
     return _search(
         args, index, lambda q: hybrid_topk(q, index, allowed=allowed, default_source=default_source, rrf_k=rrf_k),
-        True, window, max_per_document, dim, embedder,
+        True, window, max_per_document, embedder,
     )

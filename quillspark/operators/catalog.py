@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_folded
+from ..session import settle
 from .ordered import global_rank
 
 # The two lines above the numbered entries of a catalog block.
@@ -69,8 +70,9 @@ def search_documents(documents: DataFrame, chunks: DataFrame, query: str, limit:
     hit = F.lit(False)
     for name in ("title", "description", "url"):
         hit = hit | F.coalesce(F.col(name).ilike(pattern), F.lit(False))
-    newest = documents.where(hit).orderBy(F.desc("created_at"), "document_id").limit(limit)
-    return documents_with_counts(newest, chunks)
+    # At most ``limit`` rows: written once, then their chunks alone are counted.
+    newest = settle(documents.where(hit).orderBy(F.desc("created_at"), "document_id").limit(limit), "newest")
+    return documents_with_counts(newest, chunks.join(F.broadcast(newest.select("document_id")), "document_id", "left_semi"))
 
 
 def filter_documents(documents: DataFrame, query: str) -> DataFrame:

@@ -16,6 +16,7 @@ def conversation_list(conversations: DataFrame, messages: DataFrame, user_id: st
     """Conversations with the text of their latest message, null when they have none."""
     if user_id is not None:
         conversations = conversations.where(F.col("user_id") == user_id)
+        messages = messages.join(conversations.select("conversation_id"), "conversation_id", "left_semi")
     latest = messages.groupBy("conversation_id").agg(
         F.max_by("content", F.struct("created_at", "message_id")).alias("preview")
     )

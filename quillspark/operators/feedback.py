@@ -65,7 +65,8 @@ def build_feedback_reports(feedback: DataFrame, messages: DataFrame, conversatio
     accepted = guarded_feedback(valid_corrections(feedback), messages, conversations).select(
         "feedback_id", "message_id", "conversation_id", "suggested_correction"
     )
-    pairs = question_answer_pairs(messages, order).where(F.col("question").isNotNull()).select(
+    named = accepted.select("conversation_id").distinct()  # only their conversations are put in order
+    pairs = question_answer_pairs(messages.join(named, "conversation_id", "left_semi"), order).where(F.col("question").isNotNull()).select(
         "message_id", "conversation_id", "question", "answer",
         *(["sources"] if "sources" in messages.columns else []),
     )

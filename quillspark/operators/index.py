@@ -5,6 +5,7 @@
 ``vectors``       one row per chunk: the dense vector
 ``term_stats``    document frequency per term
 ``corpus_stats``  one row: number of chunks and their mean length
+``settings``      one row: the term pattern, the vectors' length and the embedder's name
 
 Terms are kept beside their chunk, so scoring a batch of queries is one scan
 that never shuffles postings, and a term found in every chunk is not a hot key:
@@ -14,8 +15,9 @@ its postings are spread over all files.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
@@ -53,6 +55,20 @@ class Index:
     def corpus_stats(self) -> DataFrame:
         return self._table("corpus_stats")
 
+    @cached_property
+    def settings(self) -> Row:
+        """``term_re``, ``dim`` and ``embedder`` as the index was built with; searches take them from here."""
+        return self._table("settings").first()
+
+    def check_embedder(self, embedder: Embedder | None) -> None:
+        if embedder_name(embedder) != self.settings["embedder"]:
+            raise ValueError(f"the index was embedded by {self.settings['embedder']}, not by {embedder_name(embedder)}")
+
+
+def embedder_name(embedder: Embedder | None) -> str:
+    """The name a model is stored under; the built-in embedder has one of its own."""
+    return "hashed" if embedder is None else getattr(embedder, "name", None) or getattr(embedder, "__qualname__", type(embedder).__qualname__)
+
 
 def counted_terms(text: Column | str, term_re: str = TERM_RE) -> Column:
     """Distinct terms of a text with their counts, as ``array<struct<term,tf>>``.
@@ -116,4 +132,5 @@ def build_index(chunks: DataFrame, path: str, dim: int = DIM, embedder: Embedder
     embed(index.chunks.select("chunk_id", "source_type", "content"), "content", "embedding", dim, embedder).select(
         "chunk_id", "source_type", "embedding"
     ).write.mode("overwrite").parquet(f"{path}/vectors")
+    spark.createDataFrame([(term_re, dim, embedder_name(embedder))], "term_re string, dim int, embedder string").write.mode("overwrite").parquet(f"{path}/settings")
     return index

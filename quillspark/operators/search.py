@@ -39,6 +39,9 @@ _ROW_BLOCK = 1024
 # What one batch of queries may send to every task; larger batches go another way.
 MAX_SHARED_WEIGHTS = 1_000_000
 MAX_SHARED_VECTORS = 8192
+MAX_SHARED_BYTES = 32 * 1024 * 1024
+# Scores of one block of rows for all queries that a task holds at once.
+_MAX_CELLS = 4_000_000
 _SALTS = 64
 _MERGE_PARTS = 32
 
@@ -183,10 +186,13 @@ def _saturated(tf: Column, avg_dl: float) -> Column:
 
 def keyword_topk(queries: DataFrame, index: Index, k: int | None = None,
                  allowed: Sequence[str] | None = None, default_source: str | None = DEFAULT_SOURCE_TYPE,
-                 factor: int = 1, term_re: str = TERM_RE, force_shuffle: bool = False) -> DataFrame:
-    """BM25 top-k of ``queries(query_id, query[, top_k])``: query_id, chunk_id, rank, score."""
+                 factor: int = 1, force_shuffle: bool = False) -> DataFrame:
+    """BM25 top-k of ``queries(query_id, query[, top_k])``: query_id, chunk_id, rank, score.
+
+    Queries are cut into terms by the pattern the index was built with.
+    """
     wanted = _with_k(queries, k, factor)
-    asked = query_terms(wanted, term_re)
+    asked = query_terms(wanted, index.settings["term_re"])
     rows = allowed_sources(index.chunk_terms, allowed, default_source)
     avg_dl = index.corpus_stats.first()["avg_dl"] or 1.0
     limits = wanted.select("query_id", "_k")
@@ -227,9 +233,10 @@ def _keyword_by_scan(rows: DataFrame, table: pd.DataFrame, limits: DataFrame, av
             return
         top = _TopK(q["query_ids"], q["ks"])
         width = len(q["query_ids"])
+        step = max(1, min(_ROW_BLOCK, _MAX_CELLS // width))
         for batch in batches:
-            for low in range(0, batch.num_rows, _ROW_BLOCK):
-                part = batch.slice(low, _ROW_BLOCK)
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
                 code = part.column("code").flatten().to_numpy()
                 if not len(code):
                     continue
@@ -305,9 +312,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int | None = None,
     rows = allowed_sources(vectors, allowed, default_source).select("chunk_id", "embedding")
     schema, query_type = _result_types(wanted)
 
-    # Half-full blocks on average, so that uneven hashing stays within the limit.
-    size = queries.count()
-    blocks = 1 if size <= MAX_SHARED_VECTORS else -(-size * 2 // MAX_SHARED_VECTORS)
+    # Written once, so that the queries' own plan doesn't run again for each block. Blocks are bounded by
+    # bytes too, and half full on average, so that uneven hashing stays within the limit.
+    wanted = settle(wanted, "wanted")
+    measured = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    size, most = measured["n"], max(1, min(MAX_SHARED_VECTORS, MAX_SHARED_BYTES // (8 * max(1, measured["dim"] or 1))))
+    blocks = 1 if size <= most else -(-size * 2 // most)
     tables = (
         wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas() for n in range(blocks)
     )

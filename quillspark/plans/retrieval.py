@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import answers, context, search
 from ..operators.embedding import DIM, embed
 from ..operators.index import Index, build_index, chunk_term_rows, corpus_statistics, term_frequencies
-from ..session import new_work_dir
+from ..session import new_work_dir, settle
 from . import tables as T
 from .registry import query
 
@@ -121,7 +121,7 @@ FROM benchmark b LEFT JOIN entries e ON e.query_id = b.item_id"""
 @query(T.with_ctes(T.DOCS, T.CHUNKS, TERMS) + """
 SELECT t.term, t.df, s.n_chunks, round(s.avg_dl, 6) AS avg_dl FROM df t CROSS JOIN stats s""")
 def bm25_stats(spark, sf_dir):
-    rows = chunk_term_rows(T.doc_chunks(spark, sf_dir))
+    rows = settle(chunk_term_rows(T.doc_chunks(spark, sf_dir)), "chunk-terms")  # tokenised once for both
     stats = corpus_statistics(rows).withColumn("_one", F.lit(1))
     return (
         term_frequencies(rows).withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one").drop("_one")

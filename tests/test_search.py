@@ -82,7 +82,7 @@ def test_own_depth_per_query_and_blank_queries(spark, corpus):
     hits = got(search.keyword_topk(df, index, default_source=None))
     assert {q: len(h) for q, h in hits.items()} == {1: 2, 2: 4}
     with pytest.raises(ValueError):
-        search.keyword_topk(df, index, 31)
+        search.keyword_topk(df, index, 0)
 
 
 @pytest.mark.parametrize("limit", [8192, 4])
@@ -219,3 +219,25 @@ def test_offsets_of_long_arrays(spark):
     sizes = [i % 7 for i in range(1500)]
     got_ = spark.createDataFrame([(sizes,), ([],)], "a array<int>").select(offsets(F.col("a")).alias("o")).collect()
     assert got_[0]["o"] == [sum(sizes[:i]) for i in range(1500)] and got_[1]["o"] == []
+
+
+def test_searches_take_the_pattern_of_the_index(spark):
+    chunks = spark.createDataFrame(
+        [("d-0", "d", "docs", "alpha-beta gamma", 0), ("d-1", "d", "docs", "alpha beta", 1)],
+        "chunk_id string, document_id string, source_type string, content string, chunk_index int")
+    index = build_index(chunks, new_work_dir(spark, "pattern-index"), dim=8, term_re=r"[^ ]+")
+    queries = spark.createDataFrame([(1, "Alpha-Beta")], "query_id int, query string")
+    assert [r["chunk_id"] for r in search.keyword_topk(queries, index, 5).collect()] == ["d-0"]
+    assert index.settings.asDict() == {"term_re": r"[^ ]+", "dim": 8, "embedder": "hashed"}
+    with pytest.raises(ValueError, match="embedded by hashed"):
+        index.check_embedder(lambda texts: [[0.0] * 8] * len(texts))
+
+
+def test_k_beyond_the_default_limits(spark):
+    vectors = spark.createDataFrame([(f"c{i:03d}", "docs", [1.0, i / 200]) for i in range(200)], "chunk_id string, source_type string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], 150), (2, [1.0, 0.0], None)], "query_id int, embedding array<float>, top_k int")
+    found = search.vector_topk(queries, vectors, 100)
+    counts = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
+    assert counts == {1: 150, 2: 100}
+    with pytest.raises(ValueError):
+        search.vector_topk(queries, vectors, 0)
