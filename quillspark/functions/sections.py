@@ -115,6 +115,17 @@ def breadcrumbs(headings: Column) -> Column:
     return F.aggregate(headings, seed, step, lambda acc: acc["out"])
 
 
+def with_anchors(chunks: Column, spans: Column, sections: Column) -> Column:
+    """``array<struct<c,s,anchor>>`` of chunks, their spans and the anchor of each chunk's innermost section.
+
+    Done on the array, so that a document's sections are not copied onto every chunk row.
+    """
+    return F.transform(F.arrays_zip(chunks.alias("c"), spans.alias("s")), lambda z: F.struct(
+        z["c"].alias("c"), z["s"].alias("s"),
+        F.when(F.size(z["c"]["section_path"]) > 0, anchor_for(F.try_element_at(z["c"]["section_path"], F.lit(-1)), sections)).alias("anchor"),
+    ))
+
+
 def anchor_for(heading: Column, sections: Column) -> Column:
     """Anchor of the last section with this text, else the slug of the text, else null."""
     same = F.filter(sections, lambda s: s["text"] == heading)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.sections import anchor_for, breadcrumbs, parse_sections
+from ..functions.sections import breadcrumbs, parse_sections, with_anchors
 from ..functions.text import TOKEN_RE, is_blank, strip, token_count
 
 MAX_TOKENS = 512
@@ -233,8 +233,8 @@ def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, token_re: str
     )
     spans = cut.withColumn("_spans", locate_chunks(F.transform("_chunks", lambda c: c["content"]), F.col("body")))
     rows = spans.select(
-        "document_id", *keep, "sections",
-        F.posexplode(F.arrays_zip(F.col("_chunks").alias("c"), F.col("_spans").alias("s"))).alias("chunk_index", "z"),
+        "document_id", *keep,
+        F.posexplode(with_anchors(F.col("_chunks"), F.col("_spans"), F.col("sections"))).alias("chunk_index", "z"),
     )
     return rows.select(
         F.concat_ws("-", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
@@ -243,10 +243,7 @@ def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, token_re: str
         F.col("z.c.content").alias("content"),
         "chunk_index",
         F.col("z.c.section_path").alias("section_path"),
-        F.when(
-            F.size("z.c.section_path") > 0,
-            anchor_for(F.try_element_at(F.col("z.c.section_path"), F.lit(-1)), F.col("sections")),
-        ).alias("anchor"),
+        F.col("z.anchor").alias("anchor"),
         F.col("z.s.char_start").alias("char_start"),
         F.col("z.s.char_end").alias("char_end"),
     )

@@ -211,22 +211,19 @@ def stage_vault(files: DataFrame, documents: DataFrame, source_type: str,
 
 def staged_chunk_rows(staged: DataFrame) -> DataFrame:
     """Chunk rows of the new and changed documents of a staged run."""
-    from ..functions.sections import anchor_for
+    from ..functions.sections import with_anchors
 
     changed = staged.where(F.col("outcome").isin("ingested", "updated"))
     rows = changed.select(
-        "document_id", "source_type", "sections",
+        "document_id", "source_type",
         F.col("title").alias("document_title"), F.col("url").alias("document_url"),
         F.col("content_path").alias("document_content_path"),
-        F.posexplode(F.arrays_zip(F.col("chunks").alias("c"), F.col("spans").alias("s"))).alias("chunk_index", "z"),
+        F.posexplode(with_anchors(F.col("chunks"), F.col("spans"), F.col("sections"))).alias("chunk_index", "z"),
     )
     return rows.select(
         F.concat_ws("-", "document_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "document_id",
         F.col("z.c.content").alias("content"), "chunk_index", F.col("z.c.section_path").alias("section_path"),
-        F.when(
-            F.size("z.c.section_path") > 0,
-            anchor_for(F.try_element_at(F.col("z.c.section_path"), F.lit(-1)), F.col("sections")),
-        ).alias("anchor"),
+        F.col("z.anchor").alias("anchor"),
         F.col("z.s.char_start").alias("char_start"), F.col("z.s.char_end").alias("char_end"),
         "source_type", "document_title", "document_url", "document_content_path",
     )
