@@ -22,7 +22,7 @@ PIECE = 24
 MAX_LANGUAGES = 64
 TRAIN_DOCS = 400  # per language, in the mean
 TRAIN_WORDS = 60_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _LETTER = np.zeros(256, np.float32)

@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
         return step
 
-    return map_slices(_inputs(docs), make, "doc_id long, score double", rows=1024, size=4 << 20)
+    return map_slices(_inputs(docs), make, "doc_id long, score double", rows=1024, size=1 << 20)
 
 
 
@@ -214,4 +214,4 @@ def keep(docs: DataFrame, model: FactorisationMachine, least: float = 0.5) -> Da
 
         return step
 
-    return keep_rows(docs, make)
+    return keep_rows(docs, make, size=1 << 20)

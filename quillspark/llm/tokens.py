@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 LONGEST_CACHED = 64
 # words on which the short way must agree with the tokenizer, or it isn't taken
 PROBES = ("a", "the", "tokenizer", "onethtionand", "é", "ñandúes", "straße", "шла", "語", "i", "re", "ll", "x" * 40)
