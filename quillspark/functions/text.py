@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,12 +127,24 @@ def html_escape(c: Column | str) -> Column:
 
 
 def html_unescape(c: Column | str) -> Column:
-    """Named entities a markdown body needs; the ampersand goes last so nothing is decoded twice."""
-    out = _col(c)
-    for entity, raw in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                        ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(raw))
-    return out
+    """Entities decoded in one pass, so nothing is decoded twice: numbers, and the names of HTML 4 and ``apos``.
+
+    A non-breaking blank becomes a blank; an unknown name or a number that is no character stays.
+    """
+    text = _col(c)
+    names = F.create_map(*[F.lit(x) for name, code in (*name2codepoint.items(), ("apos", 39)) for x in (name, " " if code == 160 else chr(code))])
+
+    def decoded(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});", 1)
+        digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("int")
+        known = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
+        number = F.decode(F.unhex(F.lpad(F.hex(F.when(known, digits)), 8, "0")), "UTF-32")
+        char = F.when(name.startswith("#"), F.when(digits == 160, " ").otherwise(number)).otherwise(F.try_element_at(names, name))
+        after = F.substring(piece, F.length(name) + 2, F.length(piece))
+        return F.when(i == 0, piece).when((name == "") | char.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, after))
+
+    whole = F.array_join(F.transform(F.split(text, "&"), decoded), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def is_refusal(c: Column | str, product: str = "product") -> Column:
@@ -224,12 +238,29 @@ HTML_STEPS = (
 )
 
 
+CHROME_STEPS = 9  # the steps that take out what is never content
+PRE_CUT = r"(?i)(?=<pre\b)|(?<=</pre>)"
+
+
 def html_to_markdown(html: Column | str) -> Column:
     """Main-content markdown of a page: chrome removed, headings kept, entities decoded."""
     out = _col(html)
-    for pattern, replacement in HTML_STEPS:
+    for pattern, replacement in HTML_STEPS[:CHROME_STEPS]:
         out = F.regexp_replace(out, pattern, replacement)
-    return strip(html_unescape(out))
+
+    def flowing(part: Column) -> Column:
+        for pattern, replacement in HTML_STEPS[CHROME_STEPS:]:
+            part = F.regexp_replace(part, pattern, replacement)
+        return html_unescape(part)
+
+    def code(part: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(part, r"(?i)<br\s*/?>", "\n"), r"<[^>]*>", "")
+        return F.concat(F.lit("\n\n```\n"), F.regexp_replace(html_unescape(inner), r"^\n+|\s+$", ""), F.lit("\n```\n\n"))
+
+    # Preformatted blocks keep their lines; all other text is cut at them and flows.
+    parts = F.transform(F.split(out, PRE_CUT), lambda part: F.when(part.rlike(r"(?i)^<pre\b"), code(part)).otherwise(strip(flowing(part))))
+    mixed = F.regexp_replace(F.array_join(parts, ""), r"(?<=```)\n{3,}(?=```\n)", "\n\n")
+    return strip(F.when(out.rlike(r"(?i)<pre\b"), mixed).otherwise(flowing(out)))
 
 
 def html_title(html: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from ..functions.sections import breadcrumbs, parse_sections, section_title
@@ -277,8 +279,9 @@ def _markdown_sql(column: str) -> str:
     for pattern, replacement in HTML_STEPS:
         pattern, replacement = pattern.replace("'", "''"), replacement.replace("\n", "' || chr(10) || '")
         out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
-    for entity, raw in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-                        ("&#x27;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+    named = [(f"&{name};", chr(code)) for name, code in name2codepoint.items() if name not in ("nbsp", "amp")]
+    # the ampersand goes last, so nothing is decoded twice
+    for entity, raw in (*named, ("&nbsp;", " "), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&amp;", "&")):
         out = f"replace({out}, '{entity}', '{raw}')"
     return f"trim({out}, {T.WS})"
 

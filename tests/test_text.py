@@ -17,6 +17,12 @@ def test_slugify(one):
         "hello-world", "cms-input-dom", "", "bung-2")
 
 
+def test_entities_and_preformatted_blocks(one):
+    assert one(X.html_unescape(lit("caf&eacute; &#8217;&mdash;&#x1F600; &nope; & b &amp;lt; &nbsp;&apos;&#xD800;&#0;")))[0] == "café ’—😀 &nope; & b &lt;  '&#xD800;&#0;"
+    page = "<main><p>x  y</p><pre class='a'><code>a = 1\n\n\n  b &lt; 2\n</code></pre><p>z</p></main>"
+    assert one(X.html_to_markdown(lit(page)))[0] == "x y\n\n```\na = 1\n\n\n  b < 2\n```\n\nz"
+
+
 def test_format_of_content_after_much_white_space(one):
     late = F.lit(" " * 5000 + "<html>").cast("binary")
     assert one(X.detect_format(late, F.lit(None).cast("string"))) == ("html",)
