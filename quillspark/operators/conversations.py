@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import auto_title, export_name, is_blank, iso_utc, sources_markdown, strip
 from ..session import broadcast_if_small
-from .ordered import last_before
+from .ordered import last_before, running_sum
 
 EXPORT_TURNS = 1000
 
@@ -71,6 +71,21 @@ def with_feedback_flag(messages: DataFrame, feedback: DataFrame) -> DataFrame:
     ).drop("_f")
 
 
+def conversation_detail(requests: DataFrame, conversations: DataFrame, messages: DataFrame, feedback: DataFrame,
+                        order: str = "turn") -> DataFrame:
+    """Requested ``(user_id, conversation_id)`` conversations with their messages in order.
+
+    Output: user_id, conversation_id, title, position (from 0, null without messages), message_id, role, content,
+    feedback_submitted. A request for a conversation of someone else, or for none, gives no row.
+    """
+    owned = requests.select("user_id", "conversation_id").distinct().join(
+        conversations.select("user_id", "conversation_id", "title"), ["user_id", "conversation_id"])
+    flagged = with_feedback_flag(messages.join(owned.select("conversation_id"), "conversation_id", "left_semi"), feedback)
+    numbered = running_sum(flagged, ["conversation_id"], order, F.lit(1), "_nth").withColumn("position", F.col("_nth") - 1)
+    return owned.join(numbered, "conversation_id", "left").select(
+        "user_id", "conversation_id", "title", "position", "message_id", "role", "content", "feedback_submitted")
+
+
 def guarded_messages(new: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split new messages into accepted and rejected.
 

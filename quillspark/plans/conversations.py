@@ -87,6 +87,21 @@ def owned_messages(spark, sf_dir):
     return conv.owned_messages(asked, convs, T.messages(spark, sf_dir)).select("message_id", "user_id", "role").orderBy("message_id")
 
 
+@query(T.with_ctes(T.CONVS, T.FEEDBACK) + """
+, asked AS (SELECT 'u' || (conv_id % 6) AS user_id, conversation_id FROM convs),
+accepted AS (SELECT * FROM fb WHERE length(trim(suggested_correction)) >= 10 AND user_id <> 'u9')
+SELECT a.user_id, a.conversation_id, c.title, m.message_id, m.role, m.content,
+       row_number() OVER (PARTITION BY m.conversation_id ORDER BY m.turn) - 1 AS position,
+       EXISTS (SELECT 1 FROM accepted f WHERE f.message_id = m.message_id) AS feedback_submitted
+FROM asked a JOIN convs c ON c.conversation_id = a.conversation_id AND c.user_id = a.user_id
+JOIN msgs m ON m.conversation_id = a.conversation_id""")
+def conversation_detail(spark, sf_dir):
+    convs = T.conversations(spark, sf_dir)
+    asked = convs.select(F.concat(F.lit("u"), (F.col("conv_id") % 6).cast("string")).alias("user_id"), "conversation_id")
+    given = fb.valid_corrections(T.feedback(spark, sf_dir)).where("user_id <> 'u9'")
+    return conv.conversation_detail(asked, convs, T.messages(spark, sf_dir), given)
+
+
 def _new_messages(spark, sf_dir):
     turns = T.load(spark, sf_dir, "conversations")
     return turns.select(
