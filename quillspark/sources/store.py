@@ -8,7 +8,8 @@ chunks with one semi join and unchanged chunks are never rewritten.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ..operators.ingest import (
 from ..schemas import DOCUMENTS, SYNC_ITEMS, SYNC_RUNS
 
 _MARKER = "_COMMITTED"
+_CLAIM = "_WRITER"
 
 
 class CorpusStore:
@@ -44,7 +46,31 @@ class CorpusStore:
 
     def _mark(self, version: int) -> None:
         path, fs = self._fs(f"{self.root}/v={version}/{_MARKER}")
-        fs.create(path, True).close()
+        fs.create(path, False).close()
+
+    @contextmanager
+    def _writing(self) -> Iterator[int]:
+        """The next version's number, claimed by a file that only one writer can create."""
+        current = self.version()
+        version = 0 if current is None else current + 1
+        path, fs = self._fs(f"{self.root}/{_CLAIM}")
+        try:
+            fs.create(path, False).close()
+        except Exception as error:
+            if not fs.exists(path):
+                raise
+            raise RuntimeError(f"{self.root} has a writer; if it died, call release_claim()") from error
+        try:
+            if self.version() != current:
+                raise RuntimeError(f"{self.root} was written meanwhile; run again")
+            yield version
+        finally:
+            fs.delete(path, False)
+
+    def release_claim(self) -> None:
+        """Let others write after a writer died; what it left of its version is overwritten."""
+        path, fs = self._fs(f"{self.root}/{_CLAIM}")
+        fs.delete(path, False)
 
     # --- reads ---
 
@@ -112,8 +138,11 @@ class CorpusStore:
         done = self.runs().where(F.col("run_id") == run_id)
         if done.limit(1).count():
             return done
-        current = self.version()
-        version = 0 if current is None else current + 1
+        with self._writing() as version:
+            return self._write(kind, stage, run_id, now, dim, embedder, version)
+
+    def _write(self, kind: str, stage: Callable[[DataFrame], DataFrame], run_id: str, now: str,
+               dim: int, embedder: Embedder | None, version: int) -> DataFrame:
         base = f"{self.root}/v={version}"
         stamp = F.lit(now).cast("timestamp")
         documents = self._documents()
@@ -147,3 +176,30 @@ class CorpusStore:
         self._mark(version)
         return self.spark.read.parquet(f"{base}/runs")
 
+    def delete_documents(self, ids: DataFrame, run_id: str, now: str) -> DataFrame:
+        """Take ``ids(document_id)`` out, with their chunks and vectors; returns the run's row. A run id is applied once.
+
+        Only the document table is written: chunks and vectors are live as long as their document names
+        their version. Unknown ids are no error and have no item.
+        """
+        done = self.runs().where(F.col("run_id") == run_id)
+        if done.limit(1).count():
+            return done
+        with self._writing() as version:
+            base, stamp = f"{self.root}/v={version}", F.lit(now).cast("timestamp")
+            gone = ids.select("document_id").distinct()
+            documents = self._documents()
+            documents.join(gone, "document_id", "left_anti").write.mode("overwrite").parquet(f"{base}/documents")
+            items = documents.join(gone, "document_id", "left_semi").select(
+                F.sha2(F.concat_ws(":", F.lit(run_id), "document_id"), 256).alias("item_id"), F.lit(run_id).alias("run_id"),
+                F.coalesce("url", "content_path", "document_id").alias("source_ref"), F.lit("deleted").alias("outcome"),
+                F.lit(None).cast("string").alias("error_message"), stamp.alias("created_at"))
+            items.write.mode("overwrite").parquet(f"{base}/items")
+            none = F.lit(0).cast("bigint")
+            self.spark.read.parquet(f"{base}/items").agg(F.count(F.lit(1)).alias("items_total")).select(
+                F.lit(run_id).alias("run_id"), F.lit("delete").alias("kind"), F.lit("completed").alias("status"), "items_total",
+                *[none.alias(c) for c in ("items_new", "items_updated", "items_unchanged", "items_error")],
+                stamp.alias("started_at"), stamp.alias("finished_at"),
+            ).write.mode("overwrite").parquet(f"{base}/runs")
+            self._mark(version)
+            return self.spark.read.parquet(f"{base}/runs")

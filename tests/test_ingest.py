@@ -240,6 +240,23 @@ def test_event_stream(spark):
     assert [(r["kind"], r["text"]) for r in out] == [("token", "a"), ("sources", None), ("done", None)]
 
 
+def test_delete_and_second_writer(spark):
+    store = CorpusStore(spark, new_work_dir(spark, "store"))
+    store.sync_pages(log(spark, page("https://a"), page("https://b")), "one", "2024-01-01 00:00:00")
+    ids = store.documents().where("url = 'https://a'").select("document_id")
+    run = store.delete_documents(ids, "two", "2024-01-02 00:00:00").collect()[0]
+    assert (run["kind"], run["items_total"]) == ("delete", 1)
+    assert [r["url"] for r in store.documents().collect()] == ["https://b"]
+    assert {r["document_url"] for r in store.chunks().collect()} == {"https://b"} and store.vectors().count() == store.chunks().count()
+    store.delete_documents(ids, "two", "2024-01-03 00:00:00")  # applied once
+    assert store.version() == 1
+    with store._writing():
+        with pytest.raises(RuntimeError, match="has a writer"):
+            store.sync_pages(log(spark, page("https://c")), "three", "2024-01-01 00:00:00")
+    store.sync_pages(log(spark, page("https://a"), page("https://b")), "three", "2024-01-04 00:00:00")
+    assert {r["document_url"] for r in store.chunks().collect()} == {"https://a", "https://b"}
+
+
 def test_two_streams_into_one_store(spark):
     store = CorpusStore(spark, new_work_dir(spark, "store"))
     for url in ("https://a", "https://b"):
