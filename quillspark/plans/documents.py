@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sections import breadcrumbs, parse_sections, section_title
 from ..functions.text import (
-    HTML_STEPS, TOKEN_RE, decode_html, detect_format, html_title, html_to_markdown, shorten, slugify,
+    HTML_STEPS, decode_html, detect_format, html_title, html_to_markdown, shorten, slugify,
     token_count, truncate_tokens,
 )
 from ..operators import catalog as cat
