@@ -23,7 +23,7 @@ from ..session import settle
 TABLES = 2
 DIRECTIONS = 8
 WIDTH = 2.4  # of an interval, in standard deviations of a random unit vector's projection
-PROBES = 600
+PROBES = 1000
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 2048
 
