@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity:
 
     def run(batches):
         encoder = word_encoder(path)
-        for part in slices(batches):
+        for part in slices(batches, size=4 << 20):
             ids, bounds = encoder.encode(part.column("text"))
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
             bounds = bounds + np.arange(len(bounds))

@@ -173,7 +173,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 1, fold
         fs, at = pa.fs.FileSystem.from_uri(base)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
         out = None
-        for part in slices(batches):
+        for part in slices(batches, size=4 << 20):
             ids, bounds = encoder.encode(part.column("text"))
             out = out or fs.open_output_stream(at + ".ids")
             out.write(np.insert(ids, bounds[1:], end_id).astype(kind).tobytes())
