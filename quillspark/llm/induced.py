@@ -27,6 +27,9 @@ BLOCK = 1 << 18
 MEMORY = 1 << 21  # items that a queue or a sort holds before it uses files
 _CODES = 7  # of nine bits (byte and type) in a key
 
+_ROW = np.dtype([("old", np.int64), ("key", np.uint64), ("seed", np.int64)])
+
+_Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
 Visit = Callable[[np.ndarray, np.ndarray], None]
 
 
@@ -93,11 +96,38 @@ def _joined(parts):
         yield np.concatenate([s for s, _ in held]), np.concatenate([p for _, p in held])
 
 
+def _with_equals(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """Of blocks of (seed, whether a new name begins with it), the seeds that share their name with a neighbour."""
+    held = None  # the last seed, whose right neighbour isn't seen yet, and whether its name is new
+    for i, new in blocks:
+        if held is not None:
+            i, new = np.append(held[0], i), np.append(held[1], new)
+        same = ~new[1:]
+        shared = np.append(same, False) | ~new
+        yield i[:-1][shared[:-1]]
+        held = i[-1], new[-1]
+    if held is not None and not held[1]:
+        yield np.array([held[0]])
+
+
+def _place(run: np.ndarray, row: np.void) -> int:
+    """How many rows of a sorted run are smaller than a row."""
+    lo, hi, row = 0, len(run), row.item()
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if run[mid].item() < row:
+            lo = mid + 1
+        else:
+            hi = mid
+    return lo
+
+
 class InducedSorter:
     """Sorts the suffixes of a text file, descending, and hands them to a visitor block by block."""
 
     def __init__(self, path: str, folder: str, memory: int = MEMORY):
-        self.folder, self.memory = folder, memory
+        self.folder, self.memory, self.files = folder, memory, 0
+        self.kept: list[str] = []
         self.n = os.path.getsize(path)
         with open(path, "ab") as f:  # words of eight bytes may be read beyond the end
             f.write(bytes(DEPTH + 16))
@@ -135,92 +165,167 @@ class InducedSorter:
         return out
 
     def _seed_places(self, types: np.ndarray) -> np.ndarray:
-        found, before = [], True
-        for lo in range(0, self.n, BLOCK):
-            part = np.asarray(types[lo:lo + BLOCK])
-            found.append(lo + np.flatnonzero(part & ~np.append(before, part[:-1])))
-            before = bool(part[-1])
-        total = self._array("places", sum(map(len, found)), np.int64)
-        if len(total):
-            np.concatenate(found, out=total)
-        return total
+        def blocks():
+            before = True
+            for lo in range(0, self.n, BLOCK):
+                part = np.asarray(types[lo:lo + BLOCK])
+                yield lo + np.flatnonzero(part & ~np.append(before, part[:-1]))
+                before = bool(part[-1])
+
+        places, at = self._array("places", sum(map(len, blocks())), np.int64), 0
+        for found in blocks():
+            places[at:at + len(found)] = found
+            at += len(found)
+        return places
 
     def _seeds(self) -> tuple[np.ndarray, np.ndarray]:
         """The seeds in ascending order, and the prefix each shares with the one before."""
         types = self._types()
         place = self._seed_places(types)
         m = len(place)
-        rank, active = self._array("rank", m, np.int64), np.arange(m)
-        end = np.append(place[1:], self.n - 1) + 1  # a name covers the next seed's first byte
+        rank = self._array("rank", m, np.int64)
+
+        def length(i: np.ndarray) -> np.ndarray:
+            """A name covers the next seed's first byte."""
+            return np.where(i + 1 < m, place[np.minimum(i + 1, m - 1)], self.n - 1) + 1 - place[i]
 
         def coded(i: np.ndarray, step: int) -> np.ndarray:
-            key, at = np.zeros(len(i), np.uint64), place[i] + step * _CODES
+            key, at, end = np.zeros(len(i), np.uint64), place[i] + step * _CODES, place[i] + length(i)
             for j in range(_CODES):
                 p = np.minimum(at + j, self.n - 1)
                 code = self.text[p].astype(np.uint64) * np.uint64(2) + types[p] + np.uint64(1)
-                key = key << np.uint64(9) | np.where(at + j < end[i], code, np.uint64(0))
+                key = key << np.uint64(9) | np.where(at + j < end, code, np.uint64(0))
             return key
 
-        step, longest = 0, int((end - place).max()) if m else 0
+        def everyone():
+            return (np.arange(lo, min(lo + BLOCK, m)) for lo in range(0, m, BLOCK))
+
+        step, longest = 0, max((int(length(i).max()) for i in everyone()), default=0)
+        active = everyone
         while step * _CODES < min(longest, DEPTH + _CODES):
             # those that ended before have equal keys in their group and stay as they are
-            active = active[end[active] - place[active] > step * _CODES] if step else active
-            active = self._refine(rank, active, lambda i, step=step: coded(i, step))
+            def going(active=active, step=step):
+                return (i[length(i) > step * _CODES] for i in active())
+
+            active = self._refine(rank, going, lambda i, step=step: coded(i, step))
             step += 1
         span = 1
-        active = self._shared(rank, np.arange(m))
-        while len(active) and span < DEPTH // 2 + 1:  # seeds are two bytes apart at least
+        active = self._shared(rank, everyone)
+        while any(map(len, active())) and span < DEPTH // 2 + 1:  # seeds are two bytes apart at least
             def next_name(i, span=span):
                 there = i + span < m
                 return np.where(there, rank[np.minimum(i + span, m - 1)] + 1, 0).astype(np.uint64)
 
             active = self._refine(rank, active, next_name)
             span *= 2
-        order = self._order(np.asarray(rank).astype(np.uint64))
-        seeds = place[order]
+        seeds, at = self._array("seeds", m, np.int64), 0
+        for _, _, i in self._sorted((rank[i], np.zeros(len(i), np.uint64), i) for i in everyone()):
+            seeds[at:at + len(i)] = place[i]
+            at += len(i)
         return seeds, self._shared_prefixes(seeds)
 
-    def _order(self, key: np.ndarray) -> np.ndarray:
-        """A sorting permutation; beyond memory, key ranges are sorted one after the other."""
-        if len(key) <= self.memory:
-            return np.argsort(key, kind="stable")
-        sample = np.unique(np.sort(key[np.linspace(0, len(key) - 1, 4096).astype(np.int64)])[::max(1, 4096 * self.memory // (4 * len(key)))])
-        out, at = np.empty(len(key), np.int64), 0
-        shelf = np.searchsorted(sample, key, side="right")
-        for k in range(len(sample) + 1):
-            here = np.flatnonzero(shelf == k)
-            part = key[here]
-            if len(part) and part.min() != part.max():
-                here = here[np.argsort(part, kind="stable")]
-            out[at:at + len(here)] = here
-            at += len(here)
-        return out
+    def _sorted(self, rows: Iterator[_Rows]) -> Iterator[_Rows]:
+        """Blocks of (rank, key, seed) in ascending order. Beyond memory, sorted runs are files, cut at common
+        bounds into ranges that fit and are sorted one after the other."""
+        held, n, runs = [], 0, []
+
+        def joined() -> _Rows:
+            old, key, i = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(old) and int(key.max()) < 1 << 32 and int(old.max()) < 1 << 31:
+                order = np.argsort(old.astype(np.uint64) << np.uint64(32) | key, kind="stable")
+            else:
+                order = np.lexsort((key, old))
+            return old[order], key[order], i[order]
+
+        def spill() -> None:
+            self.files += 1
+            run = np.memmap(os.path.join(self.folder, f"run-{self.files}"), _ROW, "w+", shape=(n,))
+            for name, x in zip(_ROW.names, joined(), strict=True):
+                run[name] = x
+            runs.append(run)
+
+        for block in rows:
+            held.append(block)
+            n += len(block[0])
+            if n >= self.memory:
+                spill()
+                held, n = [], 0
+        if not runs:
+            if n:
+                yield joined()
+            return
+        if n:
+            spill()
+        held = []
+        every = max(1, self.memory // (2 * len(runs)))  # a range has at most so many rows more of each run than it should
+        samples = np.concatenate([run[::every] for run in runs])
+        samples = np.sort(samples, order=_ROW.names)[max(1, len(runs) // 2)::max(1, len(runs) // 2)]
+        cuts = np.array([[_place(run, x) for run in runs] for x in samples] + [[len(r) for r in runs]], np.int64).reshape(-1, len(runs))
+        before = np.zeros(len(runs), np.int64)
+        for cut in cuts:
+            parts = [run[a:b] for run, a, b in zip(runs, before.tolist(), cut.tolist(), strict=True) if a < b]
+            before = cut
+            if parts:
+                held = [tuple(np.array(part[name]) for name in _ROW.names) for part in parts]
+                out = joined()
+                held = []
+                yield out
+        for run in runs:
+            os.remove(run.filename)
+
+    def _kept(self, blocks: Iterator[np.ndarray]) -> Callable[[], Iterator[np.ndarray]]:
+        """Blocks to read again and again, in a file beyond memory; it goes when the next are kept."""
+        parts, n, path = [], 0, None
+        for block in blocks:
+            parts.append(block)
+            n += len(block)
+            if n > self.memory:
+                if path is None:
+                    self.files += 1
+                    path = os.path.join(self.folder, f"active-{self.files}")
+                with open(path, "ab") as f:
+                    for part in parts:
+                        f.write(part.tobytes())
+                parts, n = [], 0
+        for old in self.kept:  # what the blocks were made of isn't read again
+            os.remove(old)
+        self.kept = [path] if path else []
+
+        def again() -> Iterator[np.ndarray]:
+            size = os.path.getsize(path) // 8 if path else 0
+            for at in range(0, size, BLOCK):
+                yield np.fromfile(path, np.int64, min(BLOCK, size - at), offset=at * 8)
+            yield from parts
+
+        return again
+
+    def _shared(self, rank: np.ndarray, active) -> Callable[[], Iterator[np.ndarray]]:
+        """Those whose rank isn't theirs alone, in order of rank."""
+
+        def blocks():
+            last = None
+            for r, _, i in self._sorted((rank[i], np.zeros(len(i), np.uint64), i) for i in active()):
+                yield i, np.append(last is None or last != r[0], r[1:] != r[:-1])
+                last = r[-1]
+
+        return self._kept(_with_equals(blocks()))
+
+    def _refine(self, rank: np.ndarray, active, key_of) -> Callable[[], Iterator[np.ndarray]]:
+        """Split the groups of equal rank by a key; a rank is the number of smaller ones. Returns who shares one still."""
 
-    def _shared(self, rank: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Those of ``i`` whose rank isn't theirs alone, in order of rank."""
-        i = i[self._order(rank[i].astype(np.uint64))]
-        r = rank[i]
-        same = np.append(r[1:] == r[:-1], False)
-        return i[same | np.append(False, same[:-1])] if len(i) else i
+        def blocks():
+            at, last, name, group = 0, None, 0, 0  # name, group: the places where the last row's begin
+            for old, key, i in self._sorted((rank[i], key_of(i), i) for i in active() if len(i)):
+                n = at + np.arange(len(i))
+                new_group = np.append(last is None or last[0] != old[0], old[1:] != old[:-1])
+                new_name = new_group | np.append(last is None or last[1] != key[0], key[1:] != key[:-1])
+                names = np.maximum.accumulate(np.where(new_name, n, name))
+                groups = np.maximum.accumulate(np.where(new_group, n, group))
+                rank[i] = old + names - groups
+                at, last, name, group = at + len(i), (old[-1], key[-1]), int(names[-1]), int(groups[-1])
+                yield i, new_name
 
-    def _refine(self, rank: np.ndarray, active: np.ndarray, key_of) -> np.ndarray:
-        """Split the groups of equal rank by a key; a rank is the number of smaller ones. Returns who shares one still."""
-        if not len(active):
-            return active
-        key, old = key_of(active), rank[active]
-        if int(key.max()) < 1 << 32 and int(old.max()) < 1 << 31:
-            order = self._order(old.astype(np.uint64) << np.uint64(32) | key)
-        elif old.min() == old.max():
-            order = self._order(key)
-        else:
-            order = np.lexsort((key, old))
-        active, key, old = active[order], key[order], old[order]
-        n = np.arange(len(active))
-        new_group = np.append(True, old[1:] != old[:-1])
-        new_name = new_group | np.append(True, key[1:] != key[:-1])
-        rank[active] = old + np.maximum.accumulate(np.where(new_name, n, 0)) - np.maximum.accumulate(np.where(new_group, n, 0))
-        same = ~np.append(new_name[1:], True)
-        return active[same | np.append(False, same[:-1])]
+        return self._kept(_with_equals(blocks()))
 
     def _shared_prefixes(self, seeds: np.ndarray) -> np.ndarray:
         lcp = self._array("seed-lcp", len(seeds), np.uint8)
@@ -297,7 +402,10 @@ class InducedSorter:
         queue, done, waves = (BucketQueues(self.folder, x, self.memory) for x in ("l", "l-done", "l-wave"))
         carry = np.full(256, 255, np.uint8)
         queue.push(int(self.text[-1]), np.array([self.n - 1]), np.zeros(1, np.uint8))
-        starts = np.searchsorted(self.text[seeds], np.arange(257)) if len(seeds) else np.zeros(257, np.int64)
+        starts = np.zeros(257, np.int64)
+        for lo in range(0, len(seeds), BLOCK):
+            starts[1:] += np.bincount(self.text[seeds[lo:lo + BLOCK]], minlength=256)
+        starts = np.cumsum(starts)
         for c in range(256):
             last = self._bucket(c, queue, waves, lambda s, p, c=c: done.push(c, s, p), carry, lambda byte, c=c: byte >= c)
             for lo in range(starts[c], starts[c + 1], BLOCK):

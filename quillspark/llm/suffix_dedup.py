@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import tempfile
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .common import map_slices
-from .induced import DEPTH, InducedSorter, RepeatMarks
+from .induced import BLOCK, DEPTH, InducedSorter, RepeatMarks
 
 LENGTH = DEPTH  # bytes of a repeated string
 ANCHOR = 16  # bytes of the substrings that are hashed
@@ -154,38 +155,59 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _shard_repeats(batches):
     """Sort one shard's stretches (in order of documents) and give the places of its repeated windows as ranges."""
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:  # scratch of this task alone, gone when it ends
-        path, keys, before = os.path.join(folder, "text"), array("q"), None
-        with open(path, "wb") as f:
+        path, rows, places, before = *(os.path.join(folder, x) for x in ("text", "rows", "row-places")), None
+        with open(path, "wb") as f, open(rows, "wb") as g, open(places, "wb") as h:
+            at = 0
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1024):
+                    keys, offsets = array("q"), array("q")
                     for k, th, start, text in zip(*(batch.slice(lo, 1024).column(c).to_pylist() for c in ("k", "th", "start", "text")), strict=True):
                         if (k, th, start) != before:  # else a repeated row
                             f.write(text + _SEPARATOR)
                             keys.extend((k, th, start, len(text)))
+                            offsets.append(at)
+                            at += len(text) + 1
                             before = (k, th, start)
-        if not keys:
+                    keys.tofile(g)
+                    offsets.tofile(h)
+        if not at:
             return
-        k, th, start, size = np.array(keys, np.int64).reshape(-1, 4).T
-        n = int(size.sum()) + len(size)
-        offset = np.cumsum(size + 1) - size - 1
+        table, offset, n = np.memmap(rows, np.int64, "r").reshape(-1, 4), np.memmap(places, np.int64, "r"), at
 
         def flags(name):
             return np.memmap(os.path.join(folder, name), bool, "w+", shape=(n,))
 
         valid, marked = flags("valid"), flags("marked")
-        edges = np.zeros(n + 1, np.int8)
-        edges[offset] += 1
-        edges[offset + size - LENGTH + 1] -= 1
-        valid[:] = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
+        for lo in range(0, len(table), 1024):
+            for a, size in zip(offset[lo:lo + 1024].tolist(), table[lo:lo + 1024, 3].tolist(), strict=True):
+                valid[a:a + max(0, size - LENGTH + 1)] = True
         InducedSorter(path, folder).sort(RepeatMarks(valid, marked))
-        at = np.flatnonzero(marked)
-        if len(at):
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
-            last = np.append(first[1:], len(at)) - 1
-            row = np.searchsorted(offset, at[first], side="right") - 1
+        for lo, hi in _runs(marked):
+            row = np.searchsorted(offset, lo, side="right") - 1
+            k, th, start, _ = table[row].T
             yield pa.record_batch([
-                pa.array(k[row]), pa.array(th[row].astype(np.int32)), pa.array((start[row] + at[first] - offset[row]).astype(np.int32)),
-                pa.array((at[last] - at[first] + LENGTH).astype(np.int32))], ["k", "th", "start", "n"])
+                pa.array(k), pa.array(th.astype(np.int32)), pa.array((start + lo - offset[row]).astype(np.int32)),
+                pa.array((hi - lo - 1 + LENGTH).astype(np.int32))], ["k", "th", "start", "n"])
+
+
+def _runs(marked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the starts and ends of maximal runs of true values."""
+    held = None  # a run that reaches the end of its block
+    for lo in range(0, len(marked), BLOCK):
+        part = np.diff(np.asarray(marked[lo:lo + BLOCK]).astype(np.int8), prepend=0, append=0)
+        first, end = lo + np.flatnonzero(part == 1), lo + np.flatnonzero(part == -1)
+        if held is not None:
+            if len(first) and first[0] == lo:
+                first[0] = held
+            else:
+                first, end = np.append(held, first), np.append(lo, end)
+            held = None
+        if len(end) and end[-1] == lo + BLOCK:
+            held, first, end = first[-1], first[:-1], end[:-1]
+        if len(first):
+            yield first, end
+    if held is not None:
+        yield np.array([held]), np.array([len(marked)])
 
 
 def repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
