@@ -174,7 +174,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows that repeat both id and text are one document, of which one row stays.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__k"), F.hash(F.coalesce("text", F.lit(""))).alias("__th")]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th")]
 
     def make():
         def step(batch):
@@ -183,7 +183,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
         return step
 
-    prints = map_slices(docs.select(*key, F.coalesce("text", F.lit("")).alias("text")), make, "__k long, __th int, fp long")
+    prints = map_slices(docs.select(*key, F.coalesce("text", F.lit("")).alias("text")), make, "__k long, __th long, fp long")
     prints = settle(prints.groupBy("fp").agg(F.min(F.struct("__k", "__th")).alias("first")), "fingerprint-heads")
     heads = prints.join(_roots(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     kept = docs.select("*", *key).join(heads, ["__k", "__th"], "left_semi")

@@ -39,8 +39,8 @@ SLICE = {"rows": 512, "size": 1 << 20}  # about forty times that is in use while
 NULL_ID = -(1 << 63)
 _SEPARATOR = b"\xff"  # never in UTF-8
 
-STRETCHES = "v long, s long, k long, th int, start int, n int, inner boolean, repeat boolean"
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+STRETCHES = "v long, s long, k long, th long, start int, n int, inner boolean, repeat boolean"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -130,9 +130,9 @@ def _spread(k: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with ``k`` (id, or NULL_ID) and ``th`` (hash of the text), which name a document, and its text."""
+    """The rows with ``k`` (id, or NULL_ID) and ``th`` (64-bit hash of the text), which name a document, and its text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("k"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
         return step
 
-    return map_slices(rows, make, "k long, th int, z binary", **SLICE)
+    return map_slices(rows, make, "k long, th long, z binary", **SLICE)
 
 
 def _shard_repeats(batches):
@@ -186,7 +186,7 @@ def _shard_repeats(batches):
             row = np.searchsorted(offset, lo, side="right") - 1
             k, th, start, _ = table[row].T
             yield pa.record_batch([
-                pa.array(k), pa.array(th.astype(np.int32)), pa.array((start + lo - offset[row]).astype(np.int32)),
+                pa.array(k), pa.array(th), pa.array((start + lo - offset[row]).astype(np.int32)),
                 pa.array((hi - lo - 1 + LENGTH).astype(np.int32))], ["k", "th", "start", "n"])
 
 
@@ -234,14 +234,14 @@ def repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
                 text, parts = unpack(batch.column("z")[i].as_py()), batch.column("parts")[i].as_py()
                 yield pa.record_batch([
                     pa.array([p["v"] for p in parts], pa.int64()), pa.array([batch.column("k")[i].as_py()] * len(parts), pa.int64()),
-                    pa.array([batch.column("th")[i].as_py()] * len(parts), pa.int32()), pa.array([p["start"] for p in parts], pa.int32()),
+                    pa.array([batch.column("th")[i].as_py()] * len(parts), pa.int64()), pa.array([p["start"] for p in parts], pa.int32()),
                     pa.array([text[p["start"]:p["start"] + p["n"] + LENGTH - 1] for p in parts], pa.binary())], ["v", "k", "th", "start", "text"])
 
     total = known.where("open").agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // shard_bytes))
-    texts = asked.join(packed, ["k", "th"]).select("k", "th", "parts", "z").mapInArrow(cut, "v long, k long, th int, start int, text binary")
+    texts = asked.join(packed, ["k", "th"]).select("k", "th", "parts", "z").mapInArrow(cut, "v long, k long, th long, start int, text binary")
     sorted_ = texts.repartition(int(shards), "v").sortWithinPartitions("k", "th", "start")
-    inner = settle(sorted_.mapInArrow(_shard_repeats, "k long, th int, start int, n int"), "shard-repeats")
+    inner = settle(sorted_.mapInArrow(_shard_repeats, "k long, th long, start int, n int"), "shard-repeats")
     return known.where("NOT open").select("k", "th", "start", "n").unionByName(inner), packed
 
 
@@ -317,7 +317,7 @@ def shorten(docs: DataFrame) -> DataFrame:
     found, _ = repeats(docs)
     per = found.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "n")).alias("__parts"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")), "__th": F.hash(text)})
+    rows = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")), "__th": F.xxhash64(text)})
     rows = rows.join(per, ["__k", "__th"], "left").drop("__k", "__th")
     schema, where = docs.schema, docs.columns.index("text")
 
