@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from ..session import apply_safe_conf
-from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, simhash, suffix_dedup, token_output
+from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, simhash, suffix_dedup, token_output, whitening
 from .common import learnable, table
 
 QUERIES: dict = {}
@@ -94,3 +94,9 @@ def op9_imatch(spark, sf_dir):
 def op10_neighbours(spark, sf_dir):
     """The 20 nearest vectors of every twentieth one."""
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_whitening(spark, sf_dir):
+    """Whitened components of all vectors, with what they explain."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
