@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from ..session import apply_safe_conf
-from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, simhash, suffix_dedup, token_output, whitening
+from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, simhash, suffix_dedup, tiers, token_output, whitening
 from .common import learnable, table
 
 QUERIES: dict = {}
@@ -100,3 +100,10 @@ def op10_neighbours(spark, sf_dir):
 def op13_whitening(spark, sf_dir):
     """Whitened components of all vectors, with what they explain."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_tiers(spark, sf_dir):
+    """All documents in full sequences of several lengths, dealt to steps."""
+    placed = tiers.deal_steps(tiers.pack(table(spark, sf_dir, "documents"), end_id=1))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step")

@@ -77,8 +77,11 @@ class WordEncoder:
         encoded = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [])
         return [next(encoded).ids if ids is None else ids for ids in rows]
 
+    def _full(self) -> bool:
+        return len(self.known) > CACHED_WORDS
+
     def _slots(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
+        if self._full():
             self._forget()
         known = self.known
         new = [w for w in words if w not in known]
