@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from ..session import apply_safe_conf
-from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, simhash, suffix_dedup, tiers, token_output, whitening
+from . import ann, byte_bpe, imatch, langid, license_scan, packing, quality, ranked, simhash, suffix_dedup, tiers, token_output, whitening
 from .common import learnable, table
 
 QUERIES: dict = {}
@@ -107,3 +107,24 @@ def op12_tiers(spark, sf_dir):
     """All documents in full sequences of several lengths, dealt to steps."""
     placed = tiers.deal_steps(tiers.pack(table(spark, sf_dir, "documents"), end_id=1))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step")
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'), '{_TERM}') AS ts FROM documents),
+n AS (SELECT r, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS cn, CAST(sum(n) AS BIGINT) AS cl FROM n),
+m AS (SELECT r, doc_id, 50 + ((50 * n * cn) // cl) AS m FROM n, c),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * cn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'), '{_TERM}')) AS t FROM benchmark),
+s AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN m USING (r) WHERE score > 0)
+WHERE rank <= 50""")
+def op11_ranked(spark, sf_dir):
+    """The 50 best documents of each benchmark text."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
