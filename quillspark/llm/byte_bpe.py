@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import map_slices, texts
 
 PIECE_CHARS = 1 << 16
+LONG_RUN = 1 << 14
 
 
 def ranks_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -53,10 +54,25 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return pieces
 
 
+# What the split pattern takes for white space (Python's own class differs), in runs that its engine can't walk.
+_RUN = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
 def _encode(encoding, text: str) -> list[int]:
+    """Ids of a text. Of a very long run of white space, all but the last character (all of it at the text's end) is one match: it goes
+    to the merges at once, past the split pattern."""
     if len(text) <= PIECE_CHARS:
         return encoding.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in encoding.encode_ordinary(piece)]
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        for piece in safe_pieces(text[at:run.start()]):
+            ids += encoding.encode_ordinary(piece)
+        ids += encoding._encode_single_piece(run.group()[:end - run.start()].encode())
+        at = end
+    for piece in safe_pieces(text[at:]):
+        ids += encoding.encode_ordinary(piece)
+    return ids
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
