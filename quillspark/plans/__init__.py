@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    from . import conversations, documents, ingest, retrieval, streams  # noqa: F401  (they register)
+    from . import conversations, documents, ingest, live, retrieval, streams  # noqa: F401  (they register)
 
     return dict(QUERIES)
 

@@ -35,9 +35,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- documents ---------------------------------------------------------------------
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The ``documents`` table, or ``rows`` of its columns, as stored documents."""
     lines = F.split("text", "\n")
-    return load(spark, sf_dir, "documents").select(
+    return (load(spark, sf_dir, "documents") if rows is None else rows).select(
         F.col("doc_id").alias("doc_no"), F.col("doc_id").cast("string").alias("document_id"),
         F.element_at(lines, 1).alias("title"), F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("description"),
         F.concat(F.lit(SITE), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
@@ -47,9 +48,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line chunks of all documents with their document's payload."""
-    docs = documents(spark, sf_dir).withColumnsRenamed({"title": "document_title", "url": "document_url"})
+def doc_chunks(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Line chunks of all documents (or of ``rows``) with their document's payload."""
+    docs = documents(spark, sf_dir, rows).withColumnsRenamed({"title": "document_title", "url": "document_url"})
     return line_chunks(docs, keep=("source_type", "document_title", "document_url")).withColumns({
         "section_path": F.array("source_type"),
         "anchor": F.concat(F.lit("line-"), F.col("chunk_index").cast("string")),
