@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answers, context, search
+from ..operators.postings import build_postings
+from ..operators.postings import keyword_topk_pruned as pruned_topk
 from ..operators.embedding import DIM, embed
 from ..operators.index import Index, build_index, chunk_term_rows, corpus_statistics, term_frequencies
 from ..session import new_work_dir, settle
@@ -175,6 +177,34 @@ def keyword_topk_allowed(spark, sf_dir):
     return hits.withColumn("score", F.round("score", 6))
 
 
+_WITH_POSTINGS: set[tuple[str, str]] = set()
+
+
+def index_with_postings(spark, sf_dir) -> Index:
+    index, key = corpus_index(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WITH_POSTINGS:
+        build_postings(index)
+        _WITH_POSTINGS.add(key)
+    return index
+
+
+@query(T.with_ctes(T.DOCS, T.CHUNKS, BM25) + """
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10""", ints=("rank",))
+def keyword_topk_pruned(spark, sf_dir):
+    """The same rows, without the postings of terms that cannot decide."""
+    hits = pruned_topk(search_queries(spark, sf_dir, False), index_with_postings(spark, sf_dir), 10, default_source=None)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query(T.with_ctes(T.DOCS, T.CHUNKS, BM25) + """
+, allowed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS nth
+              FROM bm25_all WHERE source_type IN ('src1', 'src4'))
+SELECT query_id, chunk_id, nth AS rank, round(score, 6) AS score FROM allowed WHERE nth <= 10""", ints=("rank",))
+def keyword_topk_pruned_allowed(spark, sf_dir):
+    hits = pruned_topk(search_queries(spark, sf_dir, False), index_with_postings(spark, sf_dir), 10, allowed=["src1", "src4"])
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @query(T.with_ctes(T.DOCS, T.CHUNKS, VECTORS) + """
 SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM dense WHERE rank <= 10""", ints=("rank",))
 def semantic_topk(spark, sf_dir):
