@@ -9,9 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, terms
+from ..functions.text import TOKEN_RE, is_blank, terms, token_count, truncate_tokens
 
 DIM = 64
+# what one request to a model may hold
+MAX_ITEMS = 1024
+MAX_TOKENS = 250_000
+MAX_ITEM_TOKENS = 8191
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -46,13 +50,27 @@ def hashed_embedding(text: Column | str, dim: int = DIM) -> Column:
     return counts(hashed_slots(text, dim))
 
 
+def request_bounds(tokens: np.ndarray, max_items: int = MAX_ITEMS, max_tokens: int = MAX_TOKENS) -> list[tuple[int, int]]:
+    """Consecutive ranges of texts, each as long as both limits allow; a text over the token limit is a range of its own."""
+    ends = np.cumsum(tokens)
+    bounds, lo = [], 0
+    while lo < len(tokens):
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + max_items, max(lo + 1, int(np.searchsorted(ends, before + max_tokens, side="right"))))
+        bounds.append((lo, hi))
+        lo = hi
+    return bounds
+
+
 def embed(df: DataFrame, text_col: str = "content", out_col: str = "embedding", dim: int = DIM,
-          embedder: Embedder | None = None) -> DataFrame:
+          embedder: Embedder | None = None, max_items: int = MAX_ITEMS, max_tokens: int = MAX_TOKENS,
+          max_item_tokens: int = MAX_ITEM_TOKENS, token_re: str = TOKEN_RE) -> DataFrame:
     """Add an embedding column.
 
     Without ``embedder`` the built-in hashing embedder is used. A user model gets
     lists of texts and must answer one vector of ``dim`` numbers per text, in
-    order; blank texts and wrong counts or lengths are errors.
+    order; blank texts and wrong counts or lengths are errors. A list holds at most
+    ``max_items`` texts and ``max_tokens`` tokens; a longer text is cut after ``max_item_tokens``.
     """
     if embedder is None:
         return df.withColumn(out_col, hashed_embedding(text_col, dim))
@@ -60,17 +78,24 @@ def embed(df: DataFrame, text_col: str = "content", out_col: str = "embedding",
     model = embedder
 
     @F.pandas_udf("array<float>")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            vectors = model(texts.tolist()) if len(texts) else []
-            if len(vectors) != len(texts):
-                raise ValueError(f"embedder answered {len(vectors)} vectors for {len(texts)} texts")
-            if any(len(v) != dim for v in vectors):
-                raise ValueError(f"embedder answered a vector that is not {dim} long")
-            yield pd.Series([np.asarray(v, dtype=np.float32) for v in vectors], index=texts.index)
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            vectors = []
+            for lo, hi in request_bounds(batch["n"].to_numpy(), max_items, max_tokens):
+                texts = batch["text"].iloc[lo:hi].tolist()
+                answer = model(texts)
+                if len(answer) != len(texts):
+                    raise ValueError(f"embedder answered {len(answer)} vectors for {len(texts)} texts")
+                if any(len(v) != dim for v in answer):
+                    raise ValueError(f"embedder answered a vector that is not {dim} long")
+                vectors += [np.asarray(v, dtype=np.float32) for v in answer]
+            yield pd.Series(vectors, index=batch.index, dtype=object)
 
     checked = F.when(is_blank(text_col), F.raise_error(F.lit("cannot embed a blank text"))).otherwise(F.col(text_col))
-    return df.withColumn(out_col, call(checked))
+    count = token_count(F.col(text_col), token_re)
+    # most texts are short enough: only others are cut
+    held = F.when(count > max_item_tokens, truncate_tokens(F.col(text_col), max_item_tokens, token_re)).otherwise(checked)
+    return df.withColumn(out_col, call(F.struct(held.alias("text"), F.least(count, F.lit(max_item_tokens)).alias("n"))))
 
 
 def check_vectors(df: DataFrame, out_col: str = "embedding", dim: int = DIM) -> DataFrame:
