@@ -19,23 +19,25 @@ from __future__ import annotations
 
 import os
 import tempfile
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import map_slices
+from .common import map_slices, slices
 from .induced import BLOCK, DEPTH, InducedSorter, RepeatMarks
 
 LENGTH = DEPTH  # bytes of a repeated string
 ANCHOR = 16  # bytes of the substrings that are hashed
 STRETCH = 128  # windows of a stretch at most
 SHARD_BYTES = 2 << 20
+MAX_SHARDS = 65_536  # beyond this many a shard grows instead, and is sorted through the disk queues
 SLICE = {"rows": 512, "size": 1 << 20}  # about forty times that is in use while a slice's windows are hashed
+PARTS = 4096  # stretches whose texts are sent at a time
 NULL_ID = -(1 << 63)
 _SEPARATOR = b"\xff"  # never in UTF-8
 
@@ -76,15 +78,27 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return least, np.cumsum(edges[:-1]) > 0
 
 
-def _stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The slice's stretches, of equal ones only the first; the others as repeats, joined where they touch."""
+def _found(batches):
+    """The stretches of each slice; a text longer than a slice is read in blocks, whose windows don't overlap."""
+    size = SLICE["size"]
+    for part in slices(batches, **SLICE):
+        raw, k, th = part.column("text").cast(pa.large_binary()), part.column("k").to_pylist(), part.column("th").to_pylist()
+        if part.num_rows > 1:
+            yield _stretches(sorted(zip(k, th, [0] * len(k), raw.to_pylist(), strict=True)))
+            continue
+        whole = raw[0].as_buffer()
+        for lo in range(0, max(1, whole.size - LENGTH + 1), size):
+            yield _stretches([(k[0], th[0], lo, whole[lo:lo + size + LENGTH - 1].to_pybytes())])
+
+
+def _stretches(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    """The stretches of sorted (k, th, place of the first byte, bytes), of equal ones only the first; the others as repeats, joined where they touch."""
     from xxhash import xxh3_64_intdigest
 
     names = [c.split()[0] for c in STRETCHES.split(", ")]
-    raw = batch.column("text").cast(pa.large_binary()).to_pylist()
-    least, twice = anchors(b"".join(raw))
+    least, twice = anchors(b"".join([r[3] for r in rows]))
     cols, at = [[] for _ in _TYPES], 0
-    for text, k, th in zip(raw, batch.column("k").to_pylist(), batch.column("th").to_pylist(), strict=True):
+    for k, th, first, text in rows:
         windows = len(text) - LENGTH + 1
         if windows > 0:
             v = least[at:at + windows]
@@ -97,13 +111,14 @@ def _stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
                 n = np.minimum(STRETCH, whole - inner * STRETCH)
             inner = np.logical_or.reduceat(twice[at:at + windows], cut)
             s = [xxh3_64_intdigest(text[a:b]) for a, b in zip(cut.tolist(), (cut + n + LENGTH - 1).tolist(), strict=True)]
-            for col, x in zip(cols, (v[cut].view(np.int64), np.array(s, np.uint64).view(np.int64), np.full(len(cut), k), np.full(len(cut), th), cut, n, inner), strict=True):
+            for col, x in zip(cols, (v[cut].view(np.int64), np.array(s, np.uint64).view(np.int64), np.full(len(cut), k), np.full(len(cut), th), cut + first, n, inner), strict=True):
                 col.append(x)
         at += len(text)
     if not cols[0]:
         return pa.record_batch([pa.array([], t) for t in (*_TYPES, pa.bool_())], names)
     cols = np.stack([np.concatenate(c) for c in cols])
-    v, s, k, th, start, n, inner = cols[:, np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))]
+    # equal stretches side by side, in order of documents; were two others to share this sum, equal ones might stay apart, for the next step
+    v, s, k, th, start, n, inner = cols[:, np.argsort(_spread(cols[1]) + cols[0], kind="stable")]
     head = np.append(True, (v[1:] != v[:-1]) | (s[1:] != s[:-1]))
     at_head = np.maximum.accumulate(np.where(head, np.arange(len(v)), 0))
     again = ~head & (k == k[at_head]) & (th == th[at_head]) & (start == start[at_head])  # a repeated row
@@ -152,6 +167,35 @@ def _packed(rows: DataFrame) -> DataFrame:
     return map_slices(rows, make, "k long, th long, z binary", **SLICE)
 
 
+def _cut(batches):
+    """The texts of the parts of each packed document."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        parts = batch.column("parts")
+        per = np.diff(parts.offsets.to_numpy())
+        v, start, n = parts.flatten().flatten()
+        k, th = (np.repeat(batch.column(c).to_numpy(), per) for c in ("k", "th"))
+        at, ends = start.to_numpy().tolist(), (start.to_numpy() + n.to_numpy() + LENGTH - 1).tolist()
+
+        def out(lo: int, hi: int, held: list[bytes]) -> pa.RecordBatch:
+            return pa.record_batch([v.slice(lo, hi - lo), pa.array(k[lo:hi]), pa.array(th[lo:hi]), start.slice(lo, hi - lo), pa.array(held, pa.binary())],
+                                   ["v", "k", "th", "start", "text"])
+
+        held, done, end = [], 0, 0
+        for z, size in zip(batch.column("z"), per.tolist(), strict=True):
+            text, first, end = unpack(z.as_py()), end, end + size
+            for lo in range(first, end, PARTS):
+                hi = min(end, lo + PARTS)
+                held += [text[i:j] for i, j in zip(at[lo:hi], ends[lo:hi], strict=True)]
+                if len(held) >= PARTS:
+                    yield out(done, hi, held)
+                    held, done = [], hi
+        if held:
+            yield out(done, end, held)
+
+
 def _shard_repeats(batches):
     """Sort one shard's stretches (in order of documents) and give the places of its repeated windows as ranges."""
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:  # scratch of this task alone, gone when it ends
@@ -160,16 +204,16 @@ def _shard_repeats(batches):
             at = 0
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1024):
-                    keys, offsets = array("q"), array("q")
-                    for k, th, start, text in zip(*(batch.slice(lo, 1024).column(c).to_pylist() for c in ("k", "th", "start", "text")), strict=True):
-                        if (k, th, start) != before:  # else a repeated row
-                            f.write(text + _SEPARATOR)
-                            keys.extend((k, th, start, len(text)))
-                            offsets.append(at)
-                            at += len(text) + 1
-                            before = (k, th, start)
-                    keys.tofile(g)
-                    offsets.tofile(h)
+                    part = batch.slice(lo, 1024)
+                    names = np.column_stack([part.column(c).to_numpy() for c in ("k", "th", "start")]).astype(np.int64)
+                    new = np.append(before is None or (names[0] != before).any(), (names[1:] != names[:-1]).any(1))  # else a repeated row
+                    before, text = names[-1], part.column("text").filter(pa.array(new))
+                    size = pc.binary_length(text).to_numpy().astype(np.int64)
+                    f.write(b"".join([t + _SEPARATOR for t in text.to_pylist()]))
+                    np.column_stack([names[new], size]).tofile(g)
+                    ends = at + np.cumsum(size + 1)
+                    (ends - size - 1).tofile(h)
+                    at = int(ends[-1]) if len(ends) else at
         if not at:
             return
         table, offset, n = np.memmap(rows, np.int64, "r").reshape(-1, 4), np.memmap(places, np.int64, "r"), at
@@ -179,8 +223,13 @@ def _shard_repeats(batches):
 
         valid, marked = flags("valid"), flags("marked")
         for lo in range(0, len(table), 1024):
-            for a, size in zip(offset[lo:lo + 1024].tolist(), table[lo:lo + 1024, 3].tolist(), strict=True):
-                valid[a:a + max(0, size - LENGTH + 1)] = True
+            first, size = np.asarray(offset[lo:lo + 1024]), np.asarray(table[lo:lo + 1024, 3])
+            steps = np.zeros(first[-1] + size[-1] + 1 - first[0], np.int8)
+            windows = size - LENGTH + 1
+            fits = windows > 0
+            steps[first[fits] - first[0]] = 1
+            steps[(first + windows)[fits] - first[0]] = -1
+            valid[first[0]:first[0] + len(steps)] = np.cumsum(steps, dtype=np.int8).astype(bool)
         InducedSorter(path, folder).sort(RepeatMarks(valid, marked))
         for lo, hi in _runs(marked):
             row = np.searchsorted(offset, lo, side="right") - 1
@@ -210,11 +259,11 @@ def _runs(marked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array([held]), np.array([len(marked)])
 
 
-def repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, max_shards: int = MAX_SHARDS) -> tuple[DataFrame, DataFrame]:
     """(k, th, start, n): byte ranges of repeats, at least ``LENGTH`` bytes each; ranges may overlap. And the packed texts."""
     rows = keyed(docs)
     packed = _packed(rows)
-    found = map_slices(rows, lambda: _stretches, STRETCHES, **SLICE).repartition("v")
+    found = rows.mapInArrow(_found, STRETCHES).repartition("v")
     same = Window.partitionBy("v", "repeat", "s").orderBy("k", "th", "start")
     anchor = Window.partitionBy("v", "repeat")
     ranked = found.select("*", F.rank().over(same).alias("place"), F.row_number().over(same).alias("row")).select(
@@ -225,21 +274,9 @@ def repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
         "v", "k", "th", "start", F.when(again & ~F.col("repeat"), F.col("n") + LENGTH - 1).otherwise(F.col("n")).alias("n"), open_.alias("open")), "stretches")
     asked = known.where("open").groupBy("k", "th").agg(F.collect_list(F.struct("v", "start", "n")).alias("parts"), F.sum(F.col("n") + LENGTH).alias("size"))
 
-    def cut(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text, parts = unpack(batch.column("z")[i].as_py()), batch.column("parts")[i].as_py()
-                yield pa.record_batch([
-                    pa.array([p["v"] for p in parts], pa.int64()), pa.array([batch.column("k")[i].as_py()] * len(parts), pa.int64()),
-                    pa.array([batch.column("th")[i].as_py()] * len(parts), pa.int64()), pa.array([p["start"] for p in parts], pa.int32()),
-                    pa.array([text[p["start"]:p["start"] + p["n"] + LENGTH - 1] for p in parts], pa.binary())], ["v", "k", "th", "start", "text"])
-
     total = known.where("open").agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
-    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // shard_bytes))
-    texts = asked.join(packed, ["k", "th"]).select("k", "th", "parts", "z").mapInArrow(cut, "v long, k long, th long, start int, text binary")
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, min(max_shards, -(-total // shard_bytes)))
+    texts = asked.join(packed, ["k", "th"]).select("k", "th", "parts", "z").mapInArrow(_cut, "v long, k long, th long, start int, text binary")
     sorted_ = texts.repartition(int(shards), "v").sortWithinPartitions("k", "th", "start")
     inner = settle(sorted_.mapInArrow(_shard_repeats, "k long, th long, start int, n int"), "shard-repeats")
     return known.where("NOT open").select("k", "th", "start", "n").unionByName(inner), packed

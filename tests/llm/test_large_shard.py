@@ -54,3 +54,27 @@ def test_runs_across_blocks(monkeypatch, block):
         padded = [False, *marked.tolist(), False]
         want = [(i, next(j for j in range(i, 31) if not padded[j + 1])) for i in range(len(marked)) if padded[i + 1] and not padded[i]]
         assert [x for a, b in suffix_dedup._runs(marked) for x in zip(a.tolist(), b.tolist())] == want
+
+
+def test_a_long_text_is_read_in_blocks(monkeypatch):
+    monkeypatch.setitem(suffix_dedup.SLICE, "size", 5000)
+    rng = random.Random(5)
+    table = [(k, 7, "".join(rng.choice("abcdefghij") for _ in range(n))) for k, n in [(1, 23_456), (2, 99), (3, 300), (4, 5099), (5, 0)]]
+    batch = pa.record_batch([pa.array(c) for c in zip(*table)], ["k", "th", "text"])
+    found = [r for b in suffix_dedup._found([batch]) for r in b.to_pylist()]
+    assert not any(r["repeat"] for r in found)
+    for k, _, text in table:
+        at = 0
+        for start, n in sorted((r["start"], r["n"]) for r in found if r["k"] == k):
+            assert start == at
+            at += n
+        assert at == max(0, len(text) - 99)
+
+
+def test_a_passage_across_the_border_of_blocks(spark):
+    rng, size = random.Random(6), suffix_dedup.SLICE["size"]
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    passage = noise(400)
+    rows = [(1, noise(size - 200) + passage + noise(50_000) + passage + noise(10)), (2, noise(30) + passage), (3, noise(500))]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(size + 50_200, size + 50_600)], 2: [(30, 430)], 3: []}
