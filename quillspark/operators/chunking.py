@@ -22,7 +22,6 @@ _LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 _OTHER_BREAK = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _BLANK_END = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000](?:\n|\z)"
 _TRAILING = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]+(?=\n|\z)"
-_MARK = "\x01"
 
 
 def line_chunks(docs: DataFrame, id_col: str = "document_id", text_col: str = "body",
@@ -51,43 +50,40 @@ def section_parts(body: Column, sections: Column) -> Column:
         lambda t: F.when(t.rlike(_BLANK_END), F.regexp_replace(t, _TRAILING, "")).otherwise(t),
     )
 
-    def mark(texts: Column) -> Column:
-        def one(part: Column) -> Column:
-            return let(
-                F.regexp_extract(part, r"^[^\n]*", 0),
-                lambda line: let(
-                    strip(F.ltrim(line, F.lit("# "))),
-                    lambda bare: F.when(
-                        line.startswith("#") & F.array_contains(texts, bare),
-                        F.concat(
-                            F.lit("\n\n" + _MARK),
-                            F.least(F.length(F.regexp_extract(line, "^#+", 0)), F.lit(6)).cast("string"),
-                            F.lit(_MARK), bare, F.lit("\n\n"), F.substring(part, F.length(line) + 2, F.length(part)),
-                        ),
-                    ).otherwise(part),
-                ),
-            )
+    texts = F.transform(sections, lambda s: s["text"])
 
-        # Only a line that starts with `#` can be a heading, so the text is cut there.
-        return F.array_join(F.transform(F.split(lines, r"\n(?=#)"), one), "\n")
+    def read(part: Column, i: Column) -> Column:
+        line = F.regexp_extract(part, r"^[^\n]*", 0)
+        return let(strip(F.ltrim(line, F.lit("# "))), lambda bare: F.struct(
+            F.when(line.startswith("#") & F.array_contains(texts, bare), i).alias("at"),
+            F.least(F.length(F.regexp_extract(line, "^#+", 0)), F.lit(6)).alias("level"),
+            bare.alias("heading"),
+            F.substring(part, F.length(line) + 2, F.length(part)).alias("rest"),
+            part.alias("whole"),
+        ))
 
-    marked = let(F.transform(sections, lambda s: s["text"]), mark)
-    parts = F.split(marked, rf"\n\n(?={_MARK}[1-6]{_MARK})")
+    def paragraphs(text: Column) -> Column:
+        return F.filter(F.transform(F.split(text, "\n{2,}"), strip), lambda p: p != "").alias("paragraphs")
 
-    def read(part: Column) -> Column:
-        return let(
-            F.regexp_extract(part, f"^{_MARK}[1-6]{_MARK}[^\n]*", 0),
-            lambda first: F.struct(
-                F.when(first != "", F.substring(first, 2, 1).cast("int")).otherwise(F.lit(0)).alias("level"),
-                F.when(first != "", F.substring(first, 4, F.length(first))).alias("heading"),
-                F.filter(
-                    F.transform(F.split(F.substring(part, F.length(first) + 1, F.length(part)), "\n{2,}"), strip),
-                    lambda p: p != "",
-                ).alias("paragraphs"),
-            ),
-        )
+    def gather(parts: Column) -> Column:
+        def under(start: Column, end: Column) -> Column:
+            """The parts from ``start`` (counted from 0) up to ``end`` as one text."""
+            return F.array_join(F.transform(F.slice(parts, start + 1, end - start), lambda p: p["whole"]), "\n")
+
+        def of_heads(heads: Column) -> Column:
+            ends = F.concat(F.transform(heads, lambda h: h["at"]), F.array(F.size(parts)))
+            lead = F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"),
+                            paragraphs(under(F.lit(0), F.element_at(ends, 1))))
+            rest = F.transform(heads, lambda h, j: F.struct(
+                h["level"].alias("level"), h["heading"].alias("heading"),
+                paragraphs(F.concat_ws("\n", h["rest"], under(h["at"] + 1, F.get(ends, j + 1)))),
+            ))
+            return F.concat(F.array(lead), rest)
+
+        return let(F.filter(parts, lambda p: p["at"].isNotNull()), of_heads)
 
-    return F.transform(parts, read)
+    # Only a line that starts with `#` can be a heading, so the text is cut there.
+    return let(F.transform(F.split(lines, r"\n(?=#)"), read), gather)
 
 
 def _split_long(paragraph: Column, budget: Column, token_re: str) -> Column:
@@ -137,12 +133,13 @@ def has_paragraphs(parts: Column) -> Column:
     return F.coalesce(F.exists(parts, lambda p: F.size(p["paragraphs"]) > 0), F.lit(False))
 
 
-def chunk_contents(parts: Column, max_tokens: int, token_re: str) -> Column:
+def chunk_contents(parts: Column, max_tokens: int, token_re: str, keep_headings: bool = False) -> Column:
     """``array<struct<content,section_path>>`` of one document from its ``section_parts``.
 
     The headings above a chunk stand in front of its text and count towards the
     limit; when they alone take more than half of it they are left out of the
-    content and kept in ``section_path`` only.
+    content and kept in ``section_path`` only, or with ``keep_headings`` stand once, in
+    pieces where needed, before the section's first text.
     """
 
     def with_paths(parts: Column) -> Column:
@@ -163,7 +160,7 @@ def chunk_contents(parts: Column, max_tokens: int, token_re: str) -> Column:
                     lambda shown: F.transform(
                         _pack(
                             F.flatten(F.transform(
-                                z["part"]["paragraphs"],
+                                F.when(F.lit(keep_headings) & (used > shown), F.concat(z["path"], z["part"]["paragraphs"])).otherwise(z["part"]["paragraphs"]),
                                 lambda p: _split_long(p, F.lit(max_tokens) - shown, token_re),
                             )),
                             F.lit(max_tokens) - shown,
@@ -219,8 +216,8 @@ def locate_chunks(contents: Column, body: Column) -> Column:
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, token_re: str = TOKEN_RE,
-                    keep: tuple[str, ...] = ()) -> DataFrame:
-    """Chunks of ``docs(document_id, body, ...)``; blank bodies give none.
+                    keep: tuple[str, ...] = (), keep_headings: bool = False) -> DataFrame:
+    """Chunks of ``docs(document_id, body, ...)``; blank bodies give none. ``keep_headings``: see ``chunk_contents``.
 
     Output: chunk_id, document_id, kept columns, content, chunk_index,
     section_path, anchor, char_start, char_end.
@@ -229,7 +226,7 @@ def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, token_re: str
     if "sections" not in docs.columns:
         base = base.withColumn("sections", parse_sections("body"))
     cut = base.withColumn("_parts", section_parts(F.col("body"), F.col("sections"))).withColumn(
-        "_chunks", chunk_contents(F.col("_parts"), max_tokens, token_re)
+        "_chunks", chunk_contents(F.col("_parts"), max_tokens, token_re, keep_headings)
     )
     spans = cut.withColumn("_spans", locate_chunks(F.transform("_chunks", lambda c: c["content"]), F.col("body")))
     rows = spans.select(

@@ -47,6 +47,18 @@ def test_heading_longer_than_half_the_limit_is_left_out(spark):
     assert got[0]["content"] == "body text" and got[0]["section_path"] == [title]
 
 
+def test_long_headings_kept_on_request(spark):
+    title = " ".join(f"w{i}" for i in range(300))
+    got = chunks(spark, f"# {title}\n" + " ".join(f"b{i}" for i in range(150)), max_tokens=100, keep_headings=True)
+    assert " ".join(c["content"] for c in got).split() == title.split() + [f"b{i}" for i in range(150)]
+    assert all(c["section_path"] == [title] for c in got)
+
+
+def test_control_characters_make_no_headings(spark):
+    got = chunks(spark, "# Real\ntext\n\n\x011\x01Invented\n\nmore")
+    assert [(c["section_path"], c["content"]) for c in got] == [(["Real"], "Real\ntext\n\x011\x01Invented\nmore")]
+
+
 def test_offsets(spark):
     body = "alpha beta\n\n# A rather long heading\n\nunder it\n\n# Other\nshort"
     got = chunks(spark, body)
