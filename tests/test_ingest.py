@@ -278,3 +278,29 @@ def test_sync_stream(spark):
     assert store.version() == 2 and store.runs().count() == 3
     assert {r["document_url"]: r["content"] for r in store.chunks().collect()} == {
         "https://a": "Head\nNew text of the page.", "https://b": "Head\nBody text of the page."}
+
+
+def test_a_message_that_never_ends_gives_its_tail():
+    import pandas as pd
+
+    from quillspark.streaming.frames import _split_group
+
+    class State:
+        exists, hasTimedOut, get, timer = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutDuration(self, ms):
+            self.timer = ms
+
+    state, split = State(), _split_group(500)
+    pieces = pd.DataFrame({"seq": [1, 0], "piece": ["b\n\nda", "data: a"]})
+    [out] = split(("m",), iter([pieces]), state)
+    assert out["raw"].tolist() == ["data: ab"] and state.get == ("da", 1) and state.timer == 500
+    state.hasTimedOut = True
+    [out] = split(("m",), iter([]), state)
+    assert list(zip(out["block_no"], out["raw"])) == [(1, "da")] and not state.exists
