@@ -2,8 +2,8 @@
 
 A batch of queries that is measured to be small is broadcast and every task
 keeps its own best k per query, so only ``k`` rows per query and task are
-shuffled. A batch beyond the limit is scored by shuffled joins instead. Both
-ways are exact and give the same rows.
+shuffled. A batch beyond the limit meets the chunks block by block in a
+shuffle instead. Both ways are exact and give the same rows.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ _ROW_BLOCK = 1024
 MAX_SHARED_WEIGHTS = 1_000_000
 MAX_SHARED_VECTORS = 8192
 MAX_SHARED_BYTES = 32 * 1024 * 1024
-# Scores of one block of rows for all queries that a task holds at once.
-_MAX_CELLS = 4_000_000
-_SALTS = 64
+# Where nothing is broadcast: what meets in one task at once.
+MAX_BLOCK_QUERIES = 4096
+BLOCK_POSTINGS = 2_000_000
 _MERGE_PARTS = 32
 
 
@@ -112,6 +112,24 @@ class _TopK:
         if self.waiting > self.limit:
             self._compact()
 
+    def add_sums(self, sums: Iterator[np.ndarray], ids: pa.Array) -> None:
+        """One array per query, in order, with the score of each id; 0 or less is no match."""
+        numbers, scores, places = [], [], []
+        for number, total in enumerate(sums):
+            total, k = np.round(total, SCORE_DIGITS), int(self.ks[number])
+            places.append(best_places(np.where(total >= self.floor[number], total, 0.0), k))
+            scores.append(total[places[-1]])
+            numbers.append(np.full(len(places[-1]), number))
+            if len(scores[-1]) >= k:
+                self.floor[number] = max(self.floor[number], scores[-1].min())
+        if sum(map(len, scores)):
+            self.parts.append(pd.DataFrame({
+                "q": np.concatenate(numbers), "score": np.concatenate(scores), "id": ids.take(pa.array(np.concatenate(places))).to_pandas(),
+            }))
+            self.waiting += len(self.parts[-1])
+        if self.waiting > self.limit:
+            self._compact()
+
     def _compact(self) -> pd.DataFrame:
         every = pd.concat(self.parts, ignore_index=True).sort_values(["q", "score", "id"], ascending=[True, False, True])
         nth = every.groupby("q").cumcount().to_numpy()
@@ -203,21 +221,17 @@ def keyword_topk(queries: DataFrame, index: Index, k: int | None = None,
         if (table["term"] == table["stored_term"]).all():
             return _keyword_by_scan(rows, table, limits, avg_dl)
     weights = query_weights(asked, index).where("term = stored_term")
-    return _keyword_by_join(rows, weights, limits, avg_dl)
+    return _keyword_by_cells(rows, weights, limits, avg_dl)
 
 
 def _keyword_by_scan(rows: DataFrame, table: pd.DataFrame, limits: DataFrame, avg_dl: float) -> DataFrame:
-    table = table.sort_values(["code", "query_id"])
-    query_ids = sorted(table["query_id"].unique().tolist())
-    position = {q: n for n, q in enumerate(query_ids)}
-    codes, first = np.unique(table["code"].to_numpy(dtype=np.int64), return_index=True)
+    table = table.sort_values(["query_id", "code"])
+    query_ids, first = np.unique(table["query_id"].to_numpy(), return_index=True)
+    codes, numbers = np.unique(table["code"].to_numpy(dtype=np.int64), return_inverse=True)
     shared = rows.sparkSession.sparkContext.broadcast({
-        "query_ids": query_ids,
-        "ks": table.drop_duplicates("query_id").set_index("query_id")["_k"].reindex(query_ids).to_numpy(),
-        # Term t belongs to the queries query[start[t]:start[t + 1]], with these weights.
-        "codes": codes, "start": np.append(first, len(table)),
-        "query": table["query_id"].map(position).to_numpy(dtype=np.int64),
-        "weight": table["weight"].to_numpy(dtype=np.float64),
+        "query_ids": query_ids.tolist(), "ks": table["_k"].to_numpy()[first], "codes": codes,
+        # Query q has the terms numbers[bounds[q]:bounds[q + 1]], with these weights.
+        "numbers": numbers, "weights": table["weight"].to_numpy(dtype=np.float64), "bounds": np.append(first, len(table)),
     })
     schema, query_type = _result_types(limits)
 
@@ -232,47 +246,124 @@ def _keyword_by_scan(rows: DataFrame, table: pd.DataFrame, limits: DataFrame, av
         if not len(q["query_ids"]):
             return
         top = _TopK(q["query_ids"], q["ks"])
-        width = len(q["query_ids"])
-        step = max(1, min(_ROW_BLOCK, _MAX_CELLS // width))
         for batch in batches:
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
-                code = part.column("code").flatten().to_numpy()
-                if not len(code):
-                    continue
-                value = part.column("part").flatten().to_numpy()
-                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("code")).to_numpy())
-                at = np.minimum(np.searchsorted(q["codes"], code), len(q["codes"]) - 1)
-                known = q["codes"][at] == code
-                at, value, owner = at[known], value[known], owner[known]
-                if not len(at):
-                    continue
-                # One entry per (posting, query that asks for its term).
-                times = q["start"][at + 1] - q["start"][at]
-                entry = np.repeat(q["start"][at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                cell = np.repeat(owner, times) * width + q["query"][entry]
-                total = np.bincount(cell, q["weight"][entry] * np.repeat(value, times), part.num_rows * width)
-                total[total <= 0] = -np.inf
-                top.add(0, total.reshape(part.num_rows, width), part.column("chunk_id"))
+            code = batch.column("code").flatten().to_numpy()
+            if not len(code):
+                continue
+            value = batch.column("part").flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("code")).to_numpy())
+            at = np.minimum(np.searchsorted(q["codes"], code), len(q["codes"]) - 1)
+            known = q["codes"][at] == code
+            top.add_sums(block_sums(at[known], owner[known], value[known], batch.num_rows, True, q["numbers"], q["weights"], q["bounds"]),
+                         batch.column("chunk_id"))
         yield from top.batches(query_type)
 
     return _ranked_with_limits(slim.mapInArrow(score, schema), limits)
 
 
-def _keyword_by_join(rows: DataFrame, weights: DataFrame, limits: DataFrame, avg_dl: float) -> DataFrame:
-    """Score by a shuffled join; frequent terms are spread over salted keys on both sides."""
-    postings = rows.select("chunk_id", "dl", F.explode("terms").alias("t")).select(
-        "chunk_id", "dl", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"),
-        F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS)).cast("int").alias("_salt"),
-    )
-    spread = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    scored = (
-        postings.join(spread, ["term", "_salt"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("weight") * _saturated(F.col("tf"), avg_dl)), SCORE_DIGITS).alias("score"))
-        .where(F.col("score") > 0)
-    )
-    return _ranked_with_limits(scored, limits)
+def query_rows(weights: DataFrame, limits: DataFrame) -> DataFrame:
+    """query_id, _k, terms, weights: a row per query, with all its terms."""
+    asked = weights.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("w"))
+    return asked.join(limits, "query_id").select("query_id", "_k", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights"))
+
+
+def in_cells(rows: DataFrame, blocks: DataFrame, queries: DataFrame, score, schema: str) -> DataFrame:
+    """``score(rows, queries)`` for each pair of a block of chunks and a block of queries, both bounded and met by a shuffle.
+
+    ``rows`` has ``block`` and what is stored of its chunks, ``blocks`` lists the blocks, ``queries`` are ``query_rows``.
+    """
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    # half full on average, so that uneven hashing stays within the limit
+    parts = max(1, -(-2 * size["n"] // MAX_BLOCK_QUERIES), -(-2 * (size["terms"] or 0) // MAX_SHARED_WEIGHTS))
+    if size["n"] <= MAX_BLOCK_QUERIES and (size["terms"] or 0) <= MAX_SHARED_WEIGHTS:
+        parts = 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    mine = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("_part")
+    asked = blocks.select(F.col("block").alias("_block")).distinct().crossJoin(queries.withColumn("_part", mine))
+    return rows.select("*", every).groupBy("block", "part").cogroup(asked.groupBy("_block", "_part")).applyInArrow(score, schema)
+
+
+def block_sums(code: np.ndarray, at: np.ndarray, part: np.ndarray, size: int, unique: bool,
+               numbers: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """Per query the summed ``weight * part`` of each of ``size`` chunks, from postings (code, at, part).
+
+    Query q has the terms ``numbers[bounds[q]:bounds[q + 1]]``. Unless ``unique``, a chunk may have several postings of one term.
+    """
+    order = np.argsort(code, kind="stable")
+    code, at, part = code[order], at[order], part[order]
+    start = np.searchsorted(code, np.arange(int(numbers.max(initial=-1)) + 2)).tolist()
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        total = np.zeros(size)
+        for c, w in zip(numbers[lo:hi].tolist(), weights[lo:hi].tolist(), strict=True):
+            first, last = start[c], start[c + 1]
+            if unique:
+                total[at[first:last]] += w * part[first:last]
+            else:
+                np.add.at(total, at[first:last], w * part[first:last])
+        yield total
+
+
+def numbered_terms(queries: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of a block of queries; its entries as term numbers, weights and bounds per query."""
+    terms = queries.column("terms").combine_chunks()
+    coded = terms.flatten().dictionary_encode()
+    bounds = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))).astype(np.int64)
+    return (coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+            queries.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False), bounds)
+
+
+def best_places(total: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest positive values and of all that tie with the last of them."""
+    found = np.flatnonzero(total > 0)
+    if len(found) > k:
+        value = total[found]
+        found = found[value >= np.partition(value, len(value) - k)[len(value) - k]]
+    return found
+
+
+def saturated(tf: np.ndarray, dl: np.ndarray, avg_dl: float) -> np.ndarray:
+    """``_saturated`` inside a task."""
+    return tf * (K1 + 1.0) / (tf + K1 * ((1.0 - B) + B * dl / float(avg_dl)))
+
+
+def _keyword_by_cells(rows: DataFrame, weights: DataFrame, limits: DataFrame, avg_dl: float) -> DataFrame:
+    """Score without a broadcast: blocks of chunks meet blocks of queries, and each such cell keeps its best k per query.
+
+    What is shuffled are the chunks' term rows, once per block of queries, and the queries, once per block of chunks; never a row per
+    (query, chunk). Terms are compared as texts.
+    """
+    schema, query_type = _result_types(limits)
+    postings = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, -(-postings // BLOCK_POSTINGS))
+    slim = rows.select(
+        F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"), "chunk_id", "dl",
+        F.col("terms.term").alias("terms"), F.col("terms.tf").alias("tfs"))
+
+    def score(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if chunks.num_rows and queries.num_rows:
+            known, numbers, values, bounds = numbered_terms(queries)
+            listed = chunks.column("terms").combine_chunks()
+            code = pc.index_in(listed.flatten(), value_set=known)
+            asked = pc.is_valid(code).to_numpy(zero_copy_only=False)
+            code = pc.drop_null(code).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(chunks.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))[asked]
+            tf = chunks.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)[asked]
+            part = saturated(tf, chunks.column("dl").to_numpy()[owner], avg_dl)
+            ids = chunks.column("chunk_id").combine_chunks().dictionary_encode()
+            names, place = ids.dictionary, ids.indices.to_numpy(zero_copy_only=False)
+            sums = block_sums(code, place[owner], part, len(names), len(names) == chunks.num_rows, numbers, values, bounds)
+            for query, k, total in zip(queries.column("query_id").to_pylist(), queries.column("_k").to_pylist(), sums, strict=True):
+                total = np.round(total, SCORE_DIGITS)
+                found = best_places(total, k)
+                out[0].extend([query] * len(found))
+                out[1].extend(names.take(pa.array(found)).to_pylist())
+                out[2].append(total[found])
+        scores = np.concatenate(out[2]) if out[2] else np.zeros(0)
+        return pa.table([pa.array(out[0], query_type), pa.array(out[1], pa.string()), pa.array(scores)], ["query_id", "chunk_id", "score"])
+
+    numbered = rows.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
+    return _ranked_with_limits(in_cells(slim, numbered, settle(query_rows(weights, limits), "query-rows"), score, schema), limits)
 
 
 def _ranked_with_limits(scored: DataFrame, limits: DataFrame) -> DataFrame:

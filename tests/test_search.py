@@ -241,3 +241,17 @@ def test_k_beyond_the_default_limits(spark):
     assert counts == {1: 150, 2: 100}
     with pytest.raises(ValueError):
         search.vector_topk(queries, vectors, 0)
+
+
+def test_shuffled_way_makes_no_row_per_pair(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_POSTINGS", 60, raising=False)
+    monkeypatch.setattr(search, "MAX_BLOCK_QUERIES", 3, raising=False)
+    rows = [(f"c{i}", f"d{i}", 0, "docs", f"every {WORDS[i % len(WORDS)]} chunk" + " holds" * (i % 3), "t") for i in range(90)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, source_type string, content string, document_title string")
+    index = build_index(chunks, new_work_dir(spark, "cells-index"), dim=4)
+    qs = spark.createDataFrame([(i, f"every {WORDS[i % len(WORDS)]} chunk holds holds") for i in range(10)], "query_id int, query string")
+    hits = search.keyword_topk(qs, index, 7, force_shuffle=True)
+    # terms stay in their chunk's row: no exploded postings, no join by term
+    plan = hits._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate explode(terms" not in plan
+    assert got(hits) == {r["query_id"]: brute_bm25(rows, r["query"], 7) for r in qs.collect()} == got(search.keyword_topk(qs, index, 7))
