@@ -92,12 +92,12 @@ def counted_terms(text: Column | str, term_re: str = TERM_RE) -> Column:
     return let(F.sort_array(terms(text, term_re)), runs)
 
 
-def chunk_term_rows(chunks: DataFrame, term_re: str = TERM_RE) -> DataFrame:
-    """``chunk_id, source_type, dl, terms`` of each chunk; ``dl`` counts repeated terms."""
-    return chunks.select("chunk_id", "source_type", counted_terms("content", term_re).alias("terms")).select(
+def chunk_term_rows(chunks: DataFrame, term_re: str = TERM_RE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``chunk_id, source_type, dl, terms`` of each chunk, and its columns ``keep``; ``dl`` counts repeated terms."""
+    return chunks.select("chunk_id", "source_type", counted_terms("content", term_re).alias("terms"), *keep).select(
         "chunk_id", "source_type",
         F.aggregate("terms", F.lit(0), lambda n, t: n + t["tf"]).alias("dl"),
-        "terms",
+        "terms", *keep,
     )
 
 

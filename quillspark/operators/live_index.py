@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import TERM_RE
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, settle
 from .embedding import DIM, Embedder, embed
 from .index import chunk_term_rows, embedder_name
 
@@ -88,7 +88,14 @@ class LiveIndex:
 
     def _add(self, chunks: DataFrame, gone: DataFrame | None, run: int, dim: int, embedder: Embedder | None, term_re: str) -> int:
         chunks = self._write(chunks, "chunks", run)
-        terms = chunk_term_rows(chunks, term_re).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+        terms = chunk_term_rows(chunks, term_re, keep=("document_id",)).where(F.col("chunk_id").isNotNull())
+        # a chunk id of several rows stands for each of their documents; only ids are shuffled to find those
+        owners = chunks.groupBy("chunk_id").agg(F.collect_list(F.struct("document_id")).alias("owners")).where(F.size("owners") > 1)
+        owners = settle(owners, "repeated-chunks")
+        if not owners.isEmpty():
+            each = F.explode(F.coalesce("owners", F.array(F.struct("document_id")))).alias("of")
+            terms = terms.join(broadcast_if_small(owners), "chunk_id", "left").select("chunk_id", "source_type", "dl", "terms", each)
+            terms = terms.select("chunk_id", "source_type", "dl", "terms", "of.document_id")
         terms = self._write(terms, "chunk_terms", run)
         vectors = embed(chunks.select("chunk_id", "document_id", "source_type", "content"), "content", "embedding", dim, embedder)
         self._write(vectors.drop("content"), "vectors", run)

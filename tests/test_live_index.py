@@ -82,3 +82,14 @@ def test_changes_are_small(spark):
     changes = spark.read.parquet(f"{index.path}/term_changes/run=1")
     assert changes.count() < 40 and changes.where("term = 'brandnew'").first()["df"] == 1 and changes.where("term = 'onlyd3'").first()["df"] < 0
     assert spark.read.parquet(f"{index.path}/chunk_terms/run=1").count() == 1
+
+
+def test_terms_take_their_document_along(spark):
+    from quillspark.operators.index import chunk_term_rows
+
+    rows = [("a-0", "a", "docs", "one two"), ("a-0", "b", "docs", "three"), ("c-0", "c", "docs", "one"), (None, "d", "docs", "gone")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, source_type string, content string")
+    assert "Join" not in chunk_term_rows(chunks, keep=("document_id",))._jdf.queryExecution().toString()
+    index = live_index.create(chunks, new_work_dir(spark, "owners"), dim=4)
+    stored = sorted((r["chunk_id"], r["document_id"], r["dl"]) for r in index.live("chunk_terms").collect())
+    assert stored == [("a-0", "a", 1), ("a-0", "a", 2), ("a-0", "b", 1), ("a-0", "b", 2), ("c-0", "c", 1)]
