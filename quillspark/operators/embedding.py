@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ DIM = 64
 MAX_ITEMS = 1024
 MAX_TOKENS = 250_000
 MAX_ITEM_TOKENS = 8191
+MAX_KNOWN_TERMS = 200_000  # that a worker remembers
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -38,16 +42,31 @@ def hashed_slots(text: Column | str, dim: int = DIM) -> Column:
 def hashed_embedding(text: Column | str, dim: int = DIM) -> Column:
     """Feature-hashed term counts as ``array<float>`` (not normalised)."""
 
-    @F.pandas_udf("array<float>")
-    def counts(slots: pd.Series) -> pd.Series:
-        sizes = slots.map(len).to_numpy()
-        flat = np.concatenate([*slots.to_numpy(), np.empty(0, dtype=np.int64)]).astype(np.int64)
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        out = np.zeros((len(sizes), dim), dtype=np.float32)
-        np.add.at(out, (rows, np.abs(flat) - 1), np.sign(flat))
-        return pd.Series(list(out), index=slots.index)
-
-    return counts(hashed_slots(text, dim))
+    @F.arrow_udf("array<float>")
+    def counts(listed: pa.Array) -> pa.Array:
+        coded = listed.flatten().dictionary_encode()
+        slot = _term_slots(coded.dictionary.to_pylist(), dim)[coded.indices.to_numpy(zero_copy_only=False)]
+        rows = np.repeat(np.arange(len(listed)), pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False))
+        out = np.bincount(rows * dim + np.abs(slot) - 1, np.sign(slot), len(listed) * dim).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(listed) + 1) * dim, pa.int32()), pa.array(out))
+
+    return counts(terms(text))
+
+
+_SLOTS: dict[int, dict[str, int]] = {}  # of a worker: terms whose slots it knows
+
+
+def _term_slots(words: list[str], dim: int) -> np.ndarray:
+    """The numbers of ``hashed_slots`` for distinct terms, each computed once while it is remembered."""
+    known = _SLOTS.setdefault(dim, {})
+    if len(known) > MAX_KNOWN_TERMS:
+        known.clear()
+    for word in words:
+        if word not in known:
+            digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+            number = int(digest[:8], 16) % dim + 1
+            known[word] = -number if digest[8] >= "8" else number
+    return np.array([known[word] for word in words], np.int64)
 
 
 def request_bounds(tokens: np.ndarray, max_items: int = MAX_ITEMS, max_tokens: int = MAX_TOKENS) -> list[tuple[int, int]]:

@@ -38,3 +38,18 @@ def test_errors(spark):
     with pytest.raises(Exception, match="blank"):
         embed(spark.createDataFrame([(1, " ")], "id int, content string"), dim=4, embedder=lambda t: [[0.0] * 4 for _ in t]).collect()
     assert embed(docs.limit(0), dim=4, embedder=lambda t: []).collect() == []
+
+
+def test_slots_are_hashed_once_per_term(spark):
+    from quillspark.operators.embedding import embed, hashed_slots
+
+    rows = [(1, "one two Two three"), (2, ""), (3, "Straße one 12 one"), (4, "two")]
+    df = spark.createDataFrame(rows, "id int, content string")
+    out = embed(df, dim=8)
+    assert "md5" not in out._jdf.queryExecution().toString()  # not per occurrence in an expression
+    got = {r["id"]: list(r["embedding"]) for r in out.collect()}
+    for r in df.select("id", hashed_slots("content", 8).alias("s")).collect():
+        want = [0.0] * 8
+        for s in r["s"]:
+            want[abs(s) - 1] += 1 if s > 0 else -1
+        assert got[r["id"]] == want
