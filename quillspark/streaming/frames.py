@@ -20,8 +20,8 @@ def _split_group(idle_ms: int | None):
             state.remove()
             blocks = [rest]
         else:
-            batch = pd.concat(list(frames), ignore_index=True).sort_values("seq")
-            *blocks, rest = (rest + "".join(batch["piece"].fillna(""))).split("\n\n")
+            pieces = sorted(((s, p) for part in frames for s, p in zip(part["seq"].tolist(), part["piece"].tolist(), strict=True)), key=lambda x: x[0])
+            *blocks, rest = (rest + "".join(p for _, p in pieces if p is not None)).split("\n\n")
             if any("[DONE]" in block for block in blocks):  # fixed value: the block that ends a message
                 if state.exists:
                     state.remove()
