@@ -1,6 +1,6 @@
 """A training-data pipeline over ``documents``: five stages, each written and read again.
 
-quality classifier -> language ID -> near-dedup by shingle similarity -> suffix-array dedup -> best-fit packing
+quality classifier -> language ID -> near-dedup by SimHash and then by shingle similarity -> suffix-array dedup -> best-fit packing
 """
 
 from __future__ import annotations

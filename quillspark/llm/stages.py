@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import settle
 from . import langid, near_copies, packing, quality, simhash, suffix_dedup
 from .common import table
 
@@ -36,9 +37,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each SimHash component, and of those one of each group of near copies (five-word shingles, similarity 0.8 or more)."""
     _bounded(spark)
-    return near_copies.keep_one(docs)
+    return near_copies.keep_one(settle(simhash.keep_one(docs), "one-of-each-component"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

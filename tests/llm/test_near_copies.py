@@ -135,3 +135,14 @@ def test_prefixes_order():
     frequent = np.array([5, 7, 9, 11], np.uint64), np.array([90, 50, 70, 50])
     assert [(p >> np.uint64(32)).tolist() for p in near_copies.prefixes(sets, frequent)] == [[20, 7], [3], []]
     assert near_copies._unpacked(near_copies._packed(np.array([1, 7, (1 << 32) - 1], np.uint64))).tolist() == [1, 7, (1 << 32) - 1]
+
+
+def test_stage_takes_simhash_components_too(spark):
+    from quillspark.llm import near_copies, simhash, stages
+
+    base = "alpha beta gamma delta " * 100
+    rows = [(i, base + " ".join(f"w{i}x{j}" for j in range(12)), None, None, 0) for i in range(3)] + [(9, "another text with words of its own", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_copies.keep_one(docs).count() == 4  # unlike by their sets of shingles
+    assert simhash.keep_one(docs).count() == 2
+    assert sorted(r["doc_id"] for r in stages.keep_one_of_near_copies(spark, docs, "").collect()) == [0, 9]
