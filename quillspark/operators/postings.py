@@ -1,9 +1,10 @@
 """Keyword top-k that leaves out the postings of terms that cannot decide.
 
-``postings``    per term, source type and block of chunks the chunks' places in the block and their counts, laid out by term: the lists of a
-                term lie together, and those of a term of very many chunks are spread over several files. A row without a
-                term holds the ids and lengths of a block's chunks
-``term_tops``   per term and source type its largest saturated frequencies, in falling order
+``postings``    per term, source type and block of chunks the chunks' places in the block, their counts and the list's largest saturated
+                frequencies, in falling order. A row without a term holds the ids and lengths of a block's chunks. A block is made by
+                the task that reads its chunks and is written where it is made; only chunks whose id comes several times are shuffled
+
+A query's terms alone have their largest frequencies gathered from the blocks, as many as its hits (``term_tops``).
 
 For a query, ``weight * top`` bounds what a term can add, and the k-th entry of a term's list gives a score that k chunks
 reach for sure. Terms of the least bounds that stay below that score even together can't bring a chunk into the
@@ -13,15 +14,16 @@ chunks whose sum and the bounds left out stay below the k-th best sum go, so no
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, settle
+from ..session import broadcast_if_small, fits_broadcast, settle
 from .index import Index
 from .search import (
     BLOCK_POSTINGS, DEFAULT_SOURCE_TYPE, SCORE_DIGITS, _ranked_with_limits, _result_types, _saturated, _with_k, allowed_sources, best_places,
@@ -29,67 +31,99 @@ from .search import (
 )
 
 DEPTH = 128
-_SPREAD = 16  # files, at most, that hold the lists of one term
-_STORED = "block int, source_type string, term string, at array<int>, tf array<int>, tops array<double>, ids array<string>, dls array<int>"
+_SPREAD = 16  # groups of blocks whose largest entries of a term are put together first
+_STORED = "block bigint, source_type string, term string, at array<int>, tf array<int>, tops array<double>, ids array<string>, dls array<int>"
 _SLACK = 10.0 ** -(SCORE_DIGITS - 3)  # sums of doubles in another order stay within this
 
 
 def build_postings(index: Index, depth: int = DEPTH) -> None:
-    """Write both tables beside the index, from its stored term rows."""
+    """Write the lists beside the index, from its stored term rows, each block by the task that reads its chunks.
+
+    Chunks of one id count as one, so those whose id comes several times meet in a block by a shuffle. If they are too many to
+    broadcast their ids, all chunks do.
+    """
     avg_dl = index.corpus_stats.first()["avg_dl"] or 1.0
-    n = index.chunk_terms.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks = max(1, -(-n // BLOCK_POSTINGS))
     rows = index.chunk_terms.select(
-        F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"), "chunk_id", "source_type", "dl",
-        F.col("terms.term").alias("terms"), F.col("terms.tf").alias("tfs"))
-    stored = rows.groupBy("block").applyInArrow(_inverted(avg_dl, depth), _STORED)
-    # a term's lists lie together, those of very many blocks in several files
-    stored.repartition("term", F.pmod("block", F.lit(_SPREAD))).sortWithinPartitions("term", "source_type", "block").write.mode("overwrite").parquet(f"{index.path}/postings")
-    lists = _stored(index).where("term IS NOT NULL").select("term", "source_type", F.pmod("block", F.lit(_SPREAD)).alias("_part"), "tops")
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("tops")), asc=False), 1, depth).alias("tops")
-    tops = lists.groupBy("term", "source_type", "_part").agg(best).groupBy("term", "source_type").agg(best)
-    tops.withColumnRenamed("tops", "parts").write.mode("overwrite").parquet(f"{index.path}/term_tops")
-
-
-def _inverted(avg_dl: float, depth: int):
-    """The chunks of a block as lists by source type and term, after one row with the chunks' ids and lengths."""
-
+        F.xxhash64("chunk_id").alias("_id"), "chunk_id", "source_type", "dl", F.col("terms.term").alias("terms"), F.col("terms.tf").alias("tfs"))
+    repeated = settle(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "repeated")
+    few = fits_broadcast(repeated)
+    met = rows.join(F.broadcast(repeated), "_id", "left_semi") if few else rows
+    blocks = max(1, -(-(met.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_POSTINGS))
+    # below 0, so that they differ from the blocks of tasks
+    stored = met.withColumn("block", F.lit(-1) - F.pmod("_id", F.lit(blocks))).drop("_id").groupBy("block").applyInArrow(_met(avg_dl, depth), _STORED)
+    if few:
+        alone = rows.join(F.broadcast(repeated), "_id", "left_anti").drop("_id")
+        stored = alone.mapInArrow(_blocks(avg_dl, depth, BLOCK_POSTINGS), _STORED).unionByName(stored)
+    stored.write.mode("overwrite").parquet(f"{index.path}/postings")
+
+
+def _met(avg_dl: float, depth: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        terms, types = rows.column("terms").combine_chunks(), rows.column("source_type").combine_chunks().dictionary_encode()
-        coded = terms.flatten().dictionary_encode()
-        kind = pc.fill_null(types.indices, len(types.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
-        owner = np.repeat(np.arange(rows.num_rows, dtype=np.int32), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-        list_of = kind[owner] * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
-        tf, dl = rows.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False), rows.column("dl").combine_chunks().to_numpy(zero_copy_only=False)
-        part = saturated(tf, dl[owner], avg_dl)
-        order = np.argsort(list_of, kind="stable")
-        head = np.flatnonzero(np.append(True, np.diff(list_of[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-        ends = np.append(head, len(order))
-        # the largest parts of each list, in falling order
-        down = np.lexsort((-part, list_of))
-        nth = np.arange(len(down)) - np.repeat(head, np.diff(ends))
-        first = nth < depth
-        kept = np.append(0, np.cumsum(np.minimum(np.diff(ends), depth)))
-        which, word = np.divmod(list_of[order][head], max(1, len(coded.dictionary)))
-
-        def lists(values, bounds):
-            found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
-            return pa.concat_arrays([pa.nulls(1, found.type), found])
-
-        return pa.table({
-            "block": pa.array(np.full(len(head) + 1, key[0].as_py()), pa.int32()),
-            "source_type": pa.concat_arrays([pa.nulls(1, pa.string()), types.dictionary.cast(pa.string()).take(
-                pa.array(which, mask=which == len(types.dictionary)))]),
-            "term": pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary.cast(pa.string()).take(pa.array(word))]),
-            "at": lists(owner[order].astype(np.int32), ends), "tf": lists(tf[order].astype(np.int32), ends),
-            "tops": lists(part[down][first], kept),
-            "ids": pa.concat_arrays([pa.array([rows.column("chunk_id").to_pylist()], pa.list_(pa.string())), pa.nulls(len(head), pa.list_(pa.string()))]),
-            "dls": pa.concat_arrays([pa.array([dl.tolist()], pa.list_(pa.int32())), pa.nulls(len(head), pa.list_(pa.int32()))]),
-        })
+        return _inverted(key[0].as_py(), rows, avg_dl, depth)
+
+    return run
+
+
+def _blocks(avg_dl: float, depth: int, most: int):
+    """A task's chunks, as they come, in blocks of at most ``most`` postings; a chunk of more is a block of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            # a chunk takes one place besides its postings, so that those without a term have a bound too
+            room = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False) + 1)
+            first = 0
+            while first < len(room):
+                before = room[first - 1] if first else 0
+                last = max(int(np.searchsorted(room, before + most - size, "right")), first if held else first + 1)
+                if last > first:
+                    held.append(batch.slice(first, last - first))
+                    size += room[last - 1] - before
+                if last < len(room):
+                    yield from _inverted(number, pa.Table.from_batches(held), avg_dl, depth).to_batches()
+                    number, held, size = number + 1, [], 0
+                first = last
+        if held:
+            yield from _inverted(number, pa.Table.from_batches(held), avg_dl, depth).to_batches()
 
     return run
 
 
+def _inverted(block: int, rows: pa.Table, avg_dl: float, depth: int) -> pa.Table:
+    """The chunks of a block as lists by source type and term, after one row with the chunks' ids and lengths."""
+    terms, types = rows.column("terms").combine_chunks(), rows.column("source_type").combine_chunks().dictionary_encode()
+    coded = terms.flatten().dictionary_encode()
+    kind = pc.fill_null(types.indices, len(types.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(rows.num_rows, dtype=np.int32), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    list_of = kind[owner] * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+    tf, dl = rows.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False), rows.column("dl").combine_chunks().to_numpy(zero_copy_only=False)
+    part = saturated(tf, dl[owner], avg_dl)
+    order = np.argsort(list_of, kind="stable")
+    head = np.flatnonzero(np.append(True, np.diff(list_of[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    ends = np.append(head, len(order))
+    # the largest parts of each list, in falling order
+    down = np.lexsort((-part, list_of))
+    nth = np.arange(len(down)) - np.repeat(head, np.diff(ends))
+    first = nth < depth
+    kept = np.append(0, np.cumsum(np.minimum(np.diff(ends), depth)))
+    which, word = np.divmod(list_of[order][head], max(1, len(coded.dictionary)))
+
+    def lists(values, bounds):
+        found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+        return pa.concat_arrays([pa.nulls(1, found.type), found])
+
+    return pa.table({
+        "block": pa.array(np.full(len(head) + 1, block), pa.int64()),
+        "source_type": pa.concat_arrays([pa.nulls(1, pa.string()), types.dictionary.cast(pa.string()).take(
+            pa.array(which, mask=which == len(types.dictionary)))]),
+        "term": pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary.cast(pa.string()).take(pa.array(word))]),
+        "at": lists(owner[order].astype(np.int32), ends), "tf": lists(tf[order].astype(np.int32), ends),
+        "tops": lists(part[down][first], kept),
+        "ids": pa.concat_arrays([pa.array([rows.column("chunk_id").to_pylist()], pa.list_(pa.string())), pa.nulls(len(head), pa.list_(pa.string()))]),
+        "dls": pa.concat_arrays([pa.array([dl.tolist()], pa.list_(pa.int32())), pa.nulls(len(head), pa.list_(pa.int32()))]),
+    })
+
+
 def _stored(index: Index) -> DataFrame:
     return index.spark.read.schema(_STORED).parquet(f"{index.path}/postings")
 
@@ -138,6 +172,13 @@ def partial_sums(index: Index, queries: DataFrame, allowed: Sequence[str] | None
     return in_cells(lists.select(*wide).unionByName(heads.select(*wide)), heads, queries, score, schema)
 
 
+def term_tops(lists: DataFrame, depth: int) -> DataFrame:
+    """term, parts: the largest saturated frequencies of each term of the stored ``lists``, ``depth`` at most, in falling order."""
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("parts")), asc=False), 1, depth).alias("parts")
+    parts = lists.select("term", F.pmod(F.xxhash64("block"), F.lit(_SPREAD)).alias("_part"), F.slice("tops", 1, depth).alias("parts"))
+    return parts.groupBy("term", "_part").agg(best).groupBy("term").agg(best)
+
+
 def term_bounds(weights: DataFrame, limits: DataFrame, index: Index, allowed: Sequence[str] | None,
                 default_source: str | None = DEFAULT_SOURCE_TYPE) -> DataFrame:
     """query_id, term, weight, bound, sure, rest, essential for each term of each query.
@@ -146,10 +187,10 @@ def term_bounds(weights: DataFrame, limits: DataFrame, index: Index, allowed: Se
     lesser terms together; terms whose ``rest`` stays below ``sure`` are not essential. Where a list is shorter than k, it
     vouches for nothing.
     """
-    tops = allowed_sources(index.spark.read.parquet(f"{index.path}/term_tops"), allowed, default_source)
-    lists = tops.join(broadcast_if_small(weights.select("query_id", "term", "weight")), "term").groupBy("query_id", "term", "weight").agg(
-        F.sort_array(F.flatten(F.collect_list("parts")), asc=False).alias("parts"))
-    lists = lists.join(limits, "query_id").select(
+    stored = allowed_sources(_stored(index).where("term IS NOT NULL"), allowed, default_source)
+    asked = stored.join(broadcast_if_small(weights.select("term").distinct()), "term", "left_semi")
+    tops = term_tops(asked, max(1, limits.agg(F.max("_k")).first()[0] or 1))
+    lists = tops.join(broadcast_if_small(weights.select("query_id", "term", "weight")), "term").join(limits, "query_id").select(
         "query_id", "term", "weight", (F.col("weight") * F.get("parts", F.lit(0))).alias("bound"),
         F.coalesce(F.col("weight") * F.get("parts", F.col("_k") - 1), F.lit(0.0)).alias("kth"))
     upward = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,6 +1,7 @@
 """Pruned keyword search against the full scan, and the postings it leaves out."""
 
 import random
+from collections import Counter
 
 import pytest
 from quillspark.operators import postings, search
@@ -49,3 +50,30 @@ def test_own_depths(spark, corpus):
     df = spark.createDataFrame([(1, "seldom common", 2), (2, "seldom common", 100), (3, "term1 common", 3)], "query_id int, query string, top_k int")
     hits = got(postings.keyword_topk_pruned(df, index, default_source=None))
     assert hits == {1: brute_bm25(rows, "seldom common", 2), 2: brute_bm25(rows, "seldom common", 100), 3: brute_bm25(rows, "term1 common", 3)}
+
+
+def test_blocks_are_cut_inside_tasks(spark, corpus, monkeypatch):
+    """Every block is bounded, chunks of one id meet in one block, and nothing is stored twice or lost."""
+    rows, _ = corpus
+    rows = [*rows, ("same", "d", 0, "docs", "usual term1 term2", "t"), ("long", "d", 1, "docs", " ".join(f"w{i}" for i in range(60)), "t"), ("none", "d", 2, "docs", " ", "t")]
+    rows += [(f"twice{i % 4}", "d", i, "docs", "seldom twice common" + " again" * i, "t") for i in range(8)] + [("same", "d", 9, "docs", "usual term1", "t")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, source_type string, content string, document_title string")
+    index = build_index(chunks.repartition(3), new_work_dir(spark, "cut-index"), dim=4)
+    monkeypatch.setattr(postings, "BLOCK_POSTINGS", 50)
+    postings.build_postings(index)
+    stored = postings.postings(index).collect()
+    sizes, ids = Counter(p["block"] for p in stored), {r["block"]: r["ids"] for r in spark.read.parquet(f"{index.path}/postings").where("term IS NULL").collect()}
+    place = {b: Counter(found) for b, found in ids.items()}
+    repeated = {"same", "twice0", "twice1", "twice2", "twice3"}
+    assert all(n <= 50 or ids[b] == ["long"] for b, n in sizes.items() if not repeated & set(ids[b]))
+    assert sum(place.values(), Counter()) == Counter(r[0] for r in rows)
+    assert all(sum(i in found for found in place.values()) == 1 for i in repeated)
+    got_postings = Counter((ids[p["block"]][p["at"]], p["source_type"], p["term"], p["tf"]) for p in stored)
+    whole = index.chunk_terms.selectExpr("chunk_id", "source_type", "inline(terms)").collect()
+    assert got_postings == Counter(tuple(r) for r in whole)
+    asked = spark.createDataFrame([(1, "w7 w9 again"), (2, "term1 term2")], "query_id bigint, query string")
+    unlike = [r for r in rows if r[0] not in repeated]
+    index = build_index(spark.createDataFrame(unlike, chunks.schema).repartition(3), new_work_dir(spark, "cut-unlike"), dim=4)
+    postings.build_postings(index, depth=16)
+    assert got(postings.keyword_topk_pruned(asked, index, 20, default_source=None)) == {
+        1: brute_bm25(unlike, "w7 w9 again", 20), 2: brute_bm25(unlike, "term1 term2", 20)}
