@@ -35,6 +35,10 @@ BLOCK = 128
 SHARD_BYTES = 8 << 20
 SHARD_ROWS = 1 << 16
 PIECE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20  # of an Arrow batch: both the JVM and the Python worker hold it whole, beside the executor's heap
+# Rows of megabytes: Parquet's first look at its buffers comes after 100 rows unless told otherwise, and pages and row groups, which
+# readers hold whole, would grow to all shards of a task. So each row is looked at, and a group ends before it would exceed 8 MB by another row.
+_FILE_LIMITS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 QUERIES_PER_PASS = 1024
 MERGE_PARTS = 64
 _NO_ID = -(1 << 63)
@@ -105,6 +109,10 @@ def term_counts(of: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndar
 # --- shards ----------------------------------------------------------------------
 
 
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _lists(values, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
@@ -170,8 +178,8 @@ def build(docs: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYT
         def shard():
             return make_shard(pa.concat_arrays(ids), pa.concat_arrays(held))
 
-        # small batches are put together, so that a shard is as large as it may be
-        for part in slices(batches, rows=shard_rows, size=shard_bytes // 2):
+        # small slices are put together, so that a shard is about as large as it may be wherever batches end
+        for part in slices(batches, rows=shard_rows, size=shard_bytes // 8):
             more = part.column("text").cast(pa.large_binary())
             if held and (size + more.nbytes > shard_bytes or sum(map(len, held)) + len(more) > shard_rows):
                 yield shard()
@@ -183,7 +191,8 @@ def build(docs: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYT
             yield shard()
 
     path = path or new_work_dir(docs.sparkSession, "ranked-index")
-    texts(docs).mapInArrow(run, SHARDS).write.mode("overwrite").parquet(path)
+    _bounded(docs.sparkSession)
+    texts(docs).mapInArrow(run, SHARDS).write.mode("overwrite").options(**_FILE_LIMITS).parquet(path)
     return RankedIndex(docs.sparkSession, path)
 
 
@@ -390,6 +399,7 @@ def search(docs: DataFrame, queries: DataFrame, depth: int = DEPTH, index: Ranke
     as one pass's terms are sent to every task; documents are indexed whole, whatever their length.
     """
     spark = docs.sparkSession
+    _bounded(spark)
     index = index or build(docs)
     stats = index.shards.agg(F.sum("n_held").alias("n"), F.sum("n_terms").alias("total")).first()
     corpus = Corpus(stats["n"] or 0, stats["total"] or 0)

@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,3 +123,26 @@ def test_blocks_left_unread():
 def test_norms_beyond_64_bits():
     corpus = ranked.Corpus(10**15, 10**17)
     assert corpus.norm(np.array([1, 10**9, 7])).tolist() == [50 + 50 * n * 10**15 // 10**17 for n in (1, 10**9, 7)]
+
+
+def test_files_and_batches_hold_few_shards(spark):
+    """A task's shards are read in row groups and Arrow batches of bounded size, however many a task has written."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 10**9, 40_000))) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = ranked.build(docs, shard_bytes=1 << 20)
+    files = ds.dataset(index.path.removeprefix("file:"), format="parquet").files
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(m.num_rows for m in groups) >= 12 and sum(sizes) > 12 << 20
+    assert max(sizes) <= 8 << 20
+
+    def held(batches):
+        for batch in batches:
+            least = min(batch.slice(i, 1).nbytes for i in range(batch.num_rows))
+            yield pa.record_batch([pa.array([batch.nbytes - least])], ["beside"])
+
+    assert max(r["beside"] for r in index.shards.mapInArrow(held, "beside long").collect()) <= ranked.BATCH_BYTES
+    queries = [(i, t[:100]) for i, t in rows[:3]]
+    asked = spark.createDataFrame(queries, "item_id int, text string")
+    assert got(ranked.search(docs, asked, index=index)) == brute(rows, queries)
